@@ -9,6 +9,7 @@ from mailgraph.functions import body as B
 from mailgraph.functions import headers as H
 from mailgraph.functions import tokens as T
 from mailgraph.operators import messages as M
+from mailgraph.session import settle
 from mailgraph.sources import mail_files as S
 
 STOP_WORDS = ["the", "and", "die", "der", "les", "le", "la", "que"]
@@ -61,7 +62,8 @@ SUBJECT_TOKENS = (
 
 
 def documents(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    docs = V.spread(V.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.withColumnRenamed("doc_id", "file_id")
 
 
 def document_tokens(spark, sf_dir):
@@ -235,7 +237,7 @@ def unprocessed(spark, sf_dir):
 def lemmas(spark, sf_dir):
     """Document tokens with dictionary lemmas put in."""
     dictionary = spark.createDataFrame(LEMMAS, "form string, lemma string")
-    mapped = M.lemmatise(document_tokens(spark, sf_dir), dictionary)
+    mapped = M.lemmatise(settle(document_tokens(spark, sf_dir)), dictionary)
     return mapped.select("file_id", F.array_join("tokens", " ").alias("words"))
 
 

@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few files out to all tasks before costly text work.
+
+    A table of at least as many files as tasks is read as it is.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= tasks else df.repartition(tasks)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     items = table(spark, sf_dir, "lineitem")
@@ -45,7 +54,7 @@ EDGES = """edges AS (
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header columns around each document; the subject is the document's first line."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents")).selectExpr(
         "doc_id AS file_id",
         "concat('user', doc_id % 50, '@example.org') AS from_mail",
         "concat('user', (doc_id * 7) % 50, '@example.org, <user', (doc_id * 11) % 50, '@example.org>') AS to_hdr",

@@ -67,16 +67,15 @@ def with_tokens(messages: DataFrame, stop_words: list[str] | None = None) -> Dat
 def lemmatise(docs: DataFrame, lemmas: DataFrame, words: str = "tokens") -> DataFrame:
     """Replace each token by its dictionary lemma; ``lemmas`` has form and lemma, one per form.
 
-    Only the distinct words are looked up; a frequent word meets the dictionary once.
+    ``docs`` is read twice and should be a stored table. The dictionary is broadcast by the
+    engine while it is small and joined by shuffle beyond that.
     """
-    placed = docs.select("file_id", F.posexplode(words).alias("_pos", "_form"))
-    known = placed.select("_form").distinct().join(
-        lemmas.select(F.col("form").alias("_form"), "lemma"), "_form"
-    )
-    mapped = placed.join(known, "_form", "left").groupBy("file_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct("_pos", F.coalesce("lemma", "_form").alias("w")))
-        ).alias("_words")
+    placed = docs.select("file_id", F.posexplode(words).alias("_pos", "form"))
+    word = F.struct("_pos", F.coalesce("lemma", "form").alias("w"))
+    mapped = (
+        placed.join(lemmas.select("form", "lemma"), "form", "left")
+        .groupBy("file_id")
+        .agg(F.sort_array(F.collect_list(word)).alias("_words"))
     )
     return (
         docs.join(mapped, "file_id", "left")

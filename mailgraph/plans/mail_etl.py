@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgraph.functions import headers as H
+from mailgraph.functions.tokens import without_stop_words
 from mailgraph.operators import messages as M
 from mailgraph.operators import terms as T
 from mailgraph.operators.dedupe import dedupe_messages
@@ -58,14 +59,16 @@ def build_tables(
 ) -> MailTables:
     """All tables of one batch of numbered files (file_id, path, text)."""
     parsed = M.to_messages(S.split_mail(files), fix_fwd)
-    messages = M.with_tokens(parsed, None if lemmas is not None else stop_words)
-    if lemmas is not None:
-        for column in ("body_tokens", "subject_tokens"):
+    columns = ("body_tokens", "subject_tokens")
+    if lemmas is None:
+        messages = M.with_tokens(parsed, stop_words)
+    else:
+        # Lemmas come before stop words.
+        messages = settle(M.with_tokens(parsed).drop("body"))
+        for column in columns:
             messages = M.lemmatise(messages, lemmas, column)
-            if stop_words:
-                words = F.lit(sorted(set(stop_words)))
-                kept = F.filter(column, lambda w: ~F.array_contains(words, w))
-                messages = messages.withColumn(column, kept)
+        kept = {c: without_stop_words(F.col(c), stop_words or []) for c in columns}
+        messages = messages.withColumns(kept)
     # Every table below reads this once-parsed form; body texts are not needed any more.
     messages = settle(M.with_status(messages).drop("body"))
     valid = messages.filter("status = 'valid'")
