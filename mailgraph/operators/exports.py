@@ -133,11 +133,11 @@ def _elements(mails: DataFrame, shape: str, per_part: int) -> DataFrame:
     elif shape == "latest_counted":
         rows = latest_mails(mails, True).withColumn("subject_part", F.lit(0).cast("bigint"))
         subject = F.struct(
-            F.col("subject").alias("sub"), "date", F.col("sub_count").cast("string")
+            F.col("subject").alias("sub"), "date", F.col("sub_count").cast("string").alias("sub_count")
         )
         main = F.struct(
             F.col("body").alias("main_body"),
-            F.col("body_count").cast("string"),
+            F.col("body_count").cast("string").alias("body_count"),
             F.col("file_name").alias("filename"),
         )
         element = F.struct(email, name, label, subject.alias("subject"), main.alias("body"))

@@ -29,14 +29,13 @@ def build_session(app_name: str = "mailgraph") -> SparkSession:
     return prepare(SparkSession.builder.appName(app_name).getOrCreate())
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, keep it in the reliable checkpoint folder and cut its lineage.
+def scratch_folder(spark: SparkSession) -> str:
+    """The reliable folder for intermediate tables, shared by all executors.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a temporary folder; on a cluster a missing setting is an error, because a
+    This is the cluster's ``spark.checkpoint.dir``. Only a local session without that setting
+    gets a temporary folder; on a cluster a missing setting is an error, because a
     machine-local folder would be lost with its executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,4 +44,10 @@ def settle(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="mailgraph-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, keep it in the scratch folder and cut its lineage."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
