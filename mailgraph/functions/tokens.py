@@ -29,6 +29,15 @@ def tokens(cleaned: Column) -> Column:
     return F.regexp_extract_all(spaced(cleaned), F.lit(r"(?<= )\p{L}+(?= )"), F.lit(0))
 
 
+def each_word(words: str) -> Column:
+    """One row per token; filter ``word is not null`` afterwards.
+
+    The outer form on purpose: a plain explode has its emptiness test pushed below the
+    expression that makes the tokens, which then is computed twice.
+    """
+    return F.explode_outer(words).alias("word")
+
+
 def without_stop_words(words: Column, stop_words: list[str]) -> Column:
     """Drop stop words, keeping order and repeats. For a list short enough to be a literal."""
     if not stop_words:

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +33,9 @@ def mail_edges(mails: DataFrame) -> DataFrame:
     return mails.select(
         "file_id",
         F.col("from_mail").alias("sender"),
-        F.explode("recipients").alias("recipient"),
+        F.explode_outer("recipients").alias("recipient"),
         "msg_time",
-    )
+    ).filter("recipient is not null")
 
 
 def _contested(edges: DataFrame, tol: float) -> DataFrame:
@@ -77,10 +76,9 @@ def _decide_run(batches: Iterator[pd.DataFrame], tol: float, parts: int) -> Iter
     if not frames:
         return
     run = pd.concat(frames, ignore_index=True)
-    here = TaskContext.get().partitionId()
     first, last = run.iloc[0], run.iloc[-1]
-    unsure_head = here > 0
-    unsure_tail = here < parts - 1
+    unsure_head = first.part > 0
+    unsure_tail = first.part < parts - 1
     # Per pair the sorted times of earlier mails that are kept, and of those not decidable here.
     kept, open_ = defaultdict(list), defaultdict(list)
 
@@ -111,6 +109,7 @@ def _run_winners(pending: DataFrame, tol: float, rows_per_run: int) -> DataFrame
     order = ["sender", "msg_time", "file_id"]
     parts = -(-pending.count() // rows_per_run)
     runs = mails.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    runs = runs.withColumn("part", F.spark_partition_id())
     return runs.mapInPandas(partial(_decide_run, tol=tol, parts=parts), "file_id bigint")
 
 

@@ -127,7 +127,7 @@ def in_month_windows(edges: DataFrame) -> DataFrame:
     windows = F.array_compact(F.array(F.when(time <= here, before), F.when(time >= here, after)))
     first_end = _month_end(F.timestamp_seconds(F.lit(first)).cast("date"), tod)
     return (
-        edges.withColumn("_window", F.explode(windows))
+        edges.withColumn("_window", F.explode_outer(windows))
         .select(*edges.columns, "_window.*")
         .filter((F.col("window_start") >= first_end) & (F.col("window_end") <= last))
     )

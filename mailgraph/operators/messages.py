@@ -70,10 +70,11 @@ def lemmatise(docs: DataFrame, lemmas: DataFrame, words: str = "tokens") -> Data
     ``docs`` is read twice and should be a stored table. The dictionary is broadcast by the
     engine while it is small and joined by shuffle beyond that.
     """
-    placed = docs.select("file_id", F.posexplode(words).alias("_pos", "form"))
+    placed = docs.select("file_id", F.posexplode_outer(words).alias("_pos", "form"))
     word = F.struct("_pos", F.coalesce("lemma", "form").alias("w"))
     mapped = (
-        placed.join(lemmas.select("form", "lemma"), "form", "left")
+        placed.filter("form is not null")
+        .join(lemmas.select("form", "lemma"), "form", "left")
         .groupBy("file_id")
         .agg(F.sort_array(F.collect_list(word)).alias("_words"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailgraph.functions.numeric import product4, ratio4, smooth_idf
+from mailgraph.functions.tokens import each_word
 from mailgraph.sources.tables import not_in
 
 
@@ -15,7 +16,8 @@ def term_frequency(docs: DataFrame, words: str = "tokens") -> DataFrame:
     The document length travels with its words, so one shuffle does both measures.
     """
     return (
-        docs.select("file_id", F.size(words).cast("bigint").alias("n"), F.explode(words).alias("word"))
+        docs.select("file_id", F.size(words).cast("bigint").alias("n"), each_word(words))
+        .filter("word is not null")
         .groupBy("file_id", "word", "n")
         .agg(F.count("*").alias("abs_tf"))
         .select(
@@ -30,7 +32,7 @@ def term_frequency(docs: DataFrame, words: str = "tokens") -> DataFrame:
 
 def long_words(docs: DataFrame, words: str = "tokens") -> DataFrame:
     """One row per token occurrence."""
-    return docs.select("file_id", F.explode(words).alias("word"))
+    return docs.select("file_id", each_word(words)).filter("word is not null")
 
 
 def without_words(rows: DataFrame, stop_words: DataFrame) -> DataFrame:

@@ -60,8 +60,8 @@ def fit_lda(vectors: DataFrame, k: int, vocab_size: int, seed: int = 42, iterati
 def lda_topic_prob(model: LDAModel, vectors: DataFrame, doc: str = "file_id") -> DataFrame:
     shares = vector_to_array("topicDistribution")
     return model.transform(vectors).select(
-        doc, F.posexplode(shares).alias("topic", "prob")
-    ).withColumn("prob", F.round("prob", 4))
+        doc, F.posexplode_outer(shares).alias("topic", "prob")
+    ).select(doc, "topic", F.round("prob", 4).alias("prob"))
 
 
 def lda_topic_terms(model: LDAModel, vocab: DataFrame, n: int = TERMS_PER_TOPIC) -> DataFrame:

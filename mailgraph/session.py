@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,12 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, keep it in the scratch folder and cut its lineage."""
-    scratch_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once, keep it as a table in the scratch folder and cut its lineage.
+
+    A Parquet table is smaller than an RDD checkpoint and is read column by column. It stays
+    in the folder, like a checkpoint, until the cluster's retention rule removes it.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/mailgraph/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
