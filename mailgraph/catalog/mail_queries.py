@@ -122,7 +122,7 @@ def incremental_new(spark, sf_dir):
 
 def file_numbers(spark, sf_dir):
     """Arrival numbers in path order."""
-    return mail_etl.number_files(V.raw_mails(spark, sf_dir).select("path")).select("path", "file_id")
+    return mail_etl.file_numbers(V.raw_mails(spark, sf_dir)).select("path", "file_id")
 
 
 def merge_folders(spark, sf_dir):
@@ -133,8 +133,9 @@ def merge_folders(spark, sf_dir):
 
 def loaded_edges(spark, sf_dir):
     """The whole load: raw mails parsed, checked, de-duplicated and fanned out to edges."""
-    files = settle(mail_etl.number_files(V.raw_mails(spark, sf_dir).select("path", "text")))
-    return mail_etl.build_tables(files).edges
+    files = V.raw_mails(spark, sf_dir).select("path", "text")
+    messages = mail_etl.read_messages(files, mail_etl.file_numbers(files))
+    return mail_etl.build_tables(messages).edges
 
 
 def ingest_stream(spark, sf_dir):

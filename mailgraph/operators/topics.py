@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.ml.clustering import LDA, LDAModel
+from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailgraph.operators.numbering import dense_ids
@@ -117,5 +117,15 @@ def sweep(counts: Iterable[int], fit: Callable, score: Callable):
     return rows, best[1], best[2]
 
 
+def save_lda(model: LDAModel, vocab: DataFrame, path: str) -> None:
+    """A model is only usable with the vocabulary it was fitted on, so both are stored."""
+    model.write().overwrite().save(f"{path}/model")
+    vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
+
+
+def load_lda(spark: SparkSession, path: str) -> tuple[LDAModel, DataFrame]:
+    return LocalLDAModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vocabulary")
+
+
 def lda_perplexity(model: LDAModel, vectors: DataFrame) -> float:
     return model.logPerplexity(vectors)

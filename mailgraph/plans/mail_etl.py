@@ -43,34 +43,46 @@ def new_files(files: DataFrame, mail_list: DataFrame | None) -> DataFrame:
     return not_in(links, mail_list, ["file_link"]).drop("file_link")
 
 
-def number_files(files: DataFrame, start: int = 1) -> DataFrame:
-    """Arrival numbers in path order. Only paths are sorted; texts are joined back."""
-    ids = dense_ids(files.select("path"), ["path"], "file_id", start)
-    return files.join(ids, "path")
+def file_numbers(files: DataFrame, start: int = 1) -> DataFrame:
+    """path, file_id: arrival numbers in path order. Only paths are read and sorted."""
+    return dense_ids(files.select("path"), ["path"], "file_id", start)
 
 
-def build_tables(
+def parse_files(
+    files: DataFrame, stop_words: list[str] | None = None, fix_fwd: bool = False
+) -> DataFrame:
+    """Messages with tokens and status from raw files (path, text), without body texts.
+
+    This needs no shuffle; what leaves the task is smaller than the file.
+    """
+    parsed = M.to_messages(S.split_mail(files), fix_fwd)
+    return M.with_status(M.with_tokens(parsed, stop_words)).drop("body")
+
+
+def read_messages(
     files: DataFrame,
+    numbers: DataFrame,
     stop_words: list[str] | None = None,
     lemmas: DataFrame | None = None,
-    existing_edges: DataFrame | None = None,
-    tol: float = 2.0,
     fix_fwd: bool = False,
-) -> MailTables:
-    """All tables of one batch of numbered files (file_id, path, text)."""
-    parsed = M.to_messages(S.split_mail(files), fix_fwd)
-    columns = ("body_tokens", "subject_tokens")
+) -> DataFrame:
+    """Parsed and numbered messages, stored once for all tables built from them."""
+    early_stops = stop_words if lemmas is None else None
+    messages = settle(parse_files(files, early_stops, fix_fwd).join(numbers, "path"))
     if lemmas is None:
-        messages = M.with_tokens(parsed, stop_words)
-    else:
-        # Lemmas come before stop words.
-        messages = settle(M.with_tokens(parsed).drop("body"))
-        for column in columns:
-            messages = M.lemmatise(messages, lemmas, column)
-        kept = {c: without_stop_words(F.col(c), stop_words or []) for c in columns}
-        messages = messages.withColumns(kept)
-    # Every table below reads this once-parsed form; body texts are not needed any more.
-    messages = settle(M.with_status(messages).drop("body"))
+        return messages
+    # Lemmas come before stop words.
+    columns = ("body_tokens", "subject_tokens")
+    for column in columns:
+        messages = M.lemmatise(messages, lemmas, column)
+    kept = {c: without_stop_words(F.col(c), stop_words or []) for c in columns}
+    return settle(M.with_status(messages.withColumns(kept)))
+
+
+def build_tables(
+    messages: DataFrame, existing_edges: DataFrame | None = None, tol: float = 2.0
+) -> MailTables:
+    """All tables of one batch of messages from ``read_messages``."""
     valid = messages.filter("status = 'valid'")
     kept, log = dedupe_messages(valid, existing_edges, tol)
     log = settle(log)
@@ -107,7 +119,15 @@ def stored_table(spark: SparkSession, folder: str, name: str) -> DataFrame | Non
     return table.filter(F.col("batch") <= loads.agg(F.max("batch")).first()[0]).drop("batch")
 
 
-def load_batch(files: DataFrame, folder: str, token: str | None = None, **options) -> None:
+def load_batch(
+    files: DataFrame,
+    folder: str,
+    token: str | None = None,
+    stop_words: list[str] | None = None,
+    lemmas: DataFrame | None = None,
+    tol: float = 2.0,
+    fix_fwd: bool = False,
+) -> None:
     """Add files (path, text) that are not catalogued yet to the tables below ``folder``.
 
     Every batch writes its own ``batch=n`` folders and then one row to ``loads``. A batch that
@@ -122,11 +142,13 @@ def load_batch(files: DataFrame, folder: str, token: str | None = None, **option
             return
         done = loads.agg(F.max("batch"), F.max("last_file_id")).first()
         batch, last_id = done[0] + 1, done[1]
-    numbered = settle(number_files(new_files(files, stored_table(spark, folder, "mail_list")), last_id + 1))
-    tables = build_tables(numbered, existing_edges=stored_table(spark, folder, "edges"), **options)
+    files = new_files(files, stored_table(spark, folder, "mail_list"))
+    numbers = settle(file_numbers(files, last_id + 1))
+    messages = read_messages(files, numbers, stop_words, lemmas, fix_fwd)
+    tables = build_tables(messages, stored_table(spark, folder, "edges"), tol)
     for name in TABLES:
         getattr(tables, name).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
-    last_id = numbered.agg(F.max("file_id")).first()[0] or last_id
+    last_id = numbers.agg(F.max("file_id")).first()[0] or last_id
     load = spark.createDataFrame([(batch, last_id, token)], "batch int, last_file_id bigint, token string")
     append_table(load.coalesce(1), f"{folder}/loads")
 

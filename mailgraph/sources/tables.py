@@ -42,14 +42,17 @@ def mark_status(df: DataFrame, done: DataFrame, key: str, status: str = "OK") ->
 
 
 def write_exports(documents: DataFrame, path: str) -> None:
-    """Append sender documents as JSON, one folder per user, skipping users already there."""
+    """Append sender documents as JSON, one folder per user."""
     documents.write.mode("append").partitionBy("user_folder").json(path)
 
 
 def unexported(documents: DataFrame, path: str) -> DataFrame:
-    """Documents of users that have no export below ``path`` yet."""
-    spark = documents.sparkSession
-    done = spark.read.schema("user_folder string").json(path).select("user_folder")
+    """Documents of users that have no export below ``path`` yet.
+
+    Only the folder listing is read, not the exports.
+    """
+    files = documents.sparkSession.read.format("binaryFile").load(path)
+    done = files.select(F.col("user_folder").cast("string"))
     return not_in(documents, done, ["user_folder"])
 
 

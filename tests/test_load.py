@@ -111,9 +111,10 @@ def test_stream_of_files(spark, archive, tmp_path):
 
 
 def test_lemmas_before_stop_words(spark, archive):
-    files = mail_etl.number_files(mail_files.scan_mail_files(spark, str(archive)))
+    files = mail_files.scan_mail_files(spark, str(archive))
     forms = spark.createDataFrame([("words", "word")], "form string, lemma string")
-    found = mail_etl.build_tables(files, stop_words=["word"], lemmas=forms)
+    numbers = mail_etl.file_numbers(files)
+    found = mail_etl.build_tables(mail_etl.read_messages(files, numbers, ["word"], forms))
     assert {r["word"] for r in found.body_tf.collect()} == {"café", "au", "lait", "some"}
 
 
