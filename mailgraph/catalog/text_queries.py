@@ -230,7 +230,7 @@ _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 def unprocessed(spark, sf_dir):
     """Mails whose body cleans to no token, with the link they are logged under."""
-    parsed = M.to_messages(S.split_mail(V.raw_mails(spark, sf_dir)))
+    parsed = M.to_messages(S.split_mail(V.odd_mails(spark, sf_dir)))
     return M.unprocessed_log(M.with_status(M.with_tokens(parsed)))
 
 
@@ -245,9 +245,9 @@ _LEMMA_CASE = " ".join(f"WHEN '{form}' THEN '{lemma}'" for form, lemma in LEMMAS
 
 
 def status_ladder(spark, sf_dir):
-    parsed = M.to_messages(S.split_mail(V.raw_mails(spark, sf_dir)))
+    parsed = M.to_messages(S.split_mail(V.odd_mails(spark, sf_dir)))
     ladder = M.with_status(M.with_tokens(parsed))
-    return ladder.groupBy("status").agg(F.count("*").alias("mails"))
+    return ladder.groupBy("status", "reject_reason").agg(F.count("*").alias("mails"))
 
 
 QUERIES = {
@@ -304,16 +304,17 @@ FROM tok""",
     ),
     "unprocessed": (
         unprocessed,
-        f"""WITH {DOC_TOKENS}, {V.MAILS}
-SELECT file_id, concat('archive//', split_part(from_mail, '@', 1), '//sent//', lpad(CAST(file_id AS VARCHAR), 12, '0'))
-  AS file_link
-FROM tok JOIN mails USING (file_id) WHERE len(words) = 0 AND body <> ''""",
+        f"""WITH {V.ODD_MAILS}, {clean_ctes('odd')}, {token_ctes('cleaned')}
+SELECT file_id, concat('odd//', file_id) AS file_link
+FROM tok JOIN odd USING (file_id) WHERE len(words) = 0 AND {V.ODD_REASON} IS NULL""",
     ),
     "status_ladder": (
         status_ladder,
-        f"""WITH {DOC_TOKENS}
-SELECT CASE WHEN text = '' THEN 'rejected' WHEN len(words) = 0 THEN 'unprocessed' ELSE 'valid' END AS status,
-  count(*) AS mails
-FROM tok JOIN docs USING (file_id) GROUP BY 1""",
+        f"""WITH {V.ODD_MAILS}, {clean_ctes('odd')}, {token_ctes('cleaned')},
+r AS (SELECT file_id, words, {V.ODD_REASON} AS reject_reason FROM tok JOIN odd USING (file_id))
+SELECT CASE WHEN reject_reason IS NOT NULL THEN 'rejected' WHEN len(words) = 0 THEN 'unprocessed'
+    WHEN file_id % 11 = 1 THEN 'no sender' WHEN file_id % 11 = 2 THEN 'no recipient' ELSE 'valid' END AS status,
+  reject_reason, count(*) AS mails
+FROM r GROUP BY 1, 2""",
     ),
 }

@@ -98,6 +98,32 @@ def raw_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_id", path.alias("path"), text.alias("text"))
 
 
+def odd_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and web pages as message files of which many lack a header or usable text."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id * 2 AS file_id", "text AS body")
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id * 2 + 1 AS file_id", "html AS body")
+    return docs.unionByName(pages).selectExpr(
+        "file_id",
+        "concat('odd/', file_id) AS path",
+        """concat('Date: ', CASE WHEN file_id % 11 = 0 THEN 'soon' ELSE 'Mon, 1 Jan 2001 00:00:00 -0800' END,
+                  CASE WHEN file_id % 11 = 1 THEN '' ELSE '\nFrom: a@x' END,
+                  CASE WHEN file_id % 11 = 2 THEN '' ELSE '\nTo: b@x' END,
+                  CASE WHEN file_id % 11 = 3 THEN '' ELSE '\nSubject: s' END,
+                  CASE WHEN file_id % 11 = 4 THEN '' ELSE '\nX-From: A' END,
+                  CASE WHEN file_id % 11 = 5 THEN '' WHEN file_id % 11 < 8 THEN '\nX-To: <b@x>' ELSE '\nX-To: B' END,
+                  CASE WHEN file_id % 11 = 6 THEN '' ELSE '\nX-cc: C' END,
+                  CASE WHEN file_id % 11 = 8 THEN '\nContent-Type: multipart/mixed' ELSE '' END,
+                  '\n\n', body) AS text""",
+    )
+
+
+ODD_MAILS = """odd AS (SELECT doc_id * 2 AS file_id, text FROM documents
+  UNION ALL SELECT page_id * 2 + 1, html FROM pages)"""
+ODD_REASON = """CASE file_id % 11 WHEN 3 THEN 'no subject' WHEN 5 THEN 'no x-to' WHEN 6 THEN 'no recipient name'
+  WHEN 4 THEN 'no x-from' WHEN 0 THEN 'bad date' WHEN 8 THEN 'multipart'
+  ELSE CASE WHEN text = '' THEN 'empty body' END END"""
+
+
 def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as two sent folders per user: user turns in `sent`, others in `sent_items`."""
     return table(spark, sf_dir, "conversations").selectExpr(

@@ -5,9 +5,10 @@ within the tolerance. A dropped mail suppresses nothing. Arrival order is ``file
 
 This equals taking, again and again, every mail that arrived before all undecided mails it
 conflicts with, keeping it, and dropping what conflicts with it. Each round is joins and
-aggregations over the undecided rows only. Long runs of mails that each depend on the one
-before would need many such rounds, so from the third round on each task also decides, inside
-one bounded time-sorted partition, all it can without knowing its neighbours.
+aggregations over the undecided rows only; dense heaps of mails collapse in the first rounds.
+Long runs of mails that each depend on the one before would need many rounds, so from the
+third on each task also decides, inside one bounded time-sorted partition, all it can without
+knowing its neighbours. What fits one such partition from the start is decided there at once.
 """
 
 from __future__ import annotations
@@ -102,12 +103,11 @@ def _decide_run(batches: Iterator[pd.DataFrame], tol: float, parts: int) -> Iter
     yield pd.DataFrame({"file_id": pd.Series(winners, dtype="int64")})
 
 
-def _run_winners(pending: DataFrame, tol: float, rows_per_run: int) -> DataFrame:
+def _run_winners(pending: DataFrame, tol: float, parts: int) -> DataFrame:
     mails = pending.groupBy("file_id", "sender", "msg_time").agg(
         F.collect_set("recipient").alias("recipients")
     )
     order = ["sender", "msg_time", "file_id"]
-    parts = -(-pending.count() // rows_per_run)
     runs = mails.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     runs = runs.withColumn("part", F.spark_partition_id())
     return runs.mapInPandas(partial(_decide_run, tol=tol, parts=parts), "file_id bigint")
@@ -154,9 +154,13 @@ def dedupe_messages(
     pending, decided, round_no = contested, [], 0
     while not pending.isEmpty():
         round_no += 1
-        winners = _first_arrivals(pending, tol)
-        if round_no > 2:
-            winners = winners.unionByName(_run_winners(pending, tol, rows_per_run)).distinct()
+        parts = -(-pending.count() // rows_per_run)
+        if parts == 1:
+            winners = _run_winners(pending, tol, parts)
+        else:
+            winners = _first_arrivals(pending, tol)
+            if round_no > 2:
+                winners = winners.unionByName(_run_winners(pending, tol, parts)).distinct()
         winners = settle(winners)
         losers = _losers(pending, winners, tol).select("file_id").distinct()
         done = settle(
