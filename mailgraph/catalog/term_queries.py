@@ -65,12 +65,12 @@ def subject_word_tfidf(spark, sf_dir):
 
 def doc_tfidf(spark, sf_dir):
     tf = settle(body_table(spark, sf_dir).drop("status"))
-    return terms.doc_tfidf(tf, terms.idf(tf))
+    return terms.doc_tfidf(tf, settle(terms.idf(tf)))
 
 
 def top_terms(spark, sf_dir):
     tf = settle(body_table(spark, sf_dir).drop("status"))
-    return terms.top_terms(tf, terms.word_tfidf(tf))
+    return terms.top_terms(tf, settle(terms.word_tfidf(tf)))
 
 
 def frozen_idf(spark, sf_dir):

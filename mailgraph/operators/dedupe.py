@@ -50,7 +50,7 @@ def _contested(edges: DataFrame, tol: float) -> DataFrame:
         .filter("lo < hi")
         .select(*PAIR, "cell")
     )
-    return edges.join(near, [*PAIR, "cell"])
+    return edges.join(settle(near), [*PAIR, "cell"])
 
 
 def _first_arrivals(pending: DataFrame, tol: float) -> DataFrame:
@@ -63,7 +63,7 @@ def _first_arrivals(pending: DataFrame, tol: float) -> DataFrame:
         .agg(F.min("first").alias("first"))
     )
     return (
-        pending.join(first, [*PAIR, "cell"])
+        pending.join(settle(first), [*PAIR, "cell"])
         .groupBy("file_id")
         .agg(F.bool_and(F.col("file_id") == F.col("first")).alias("wins"))
         .filter("wins")

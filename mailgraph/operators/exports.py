@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mailgraph.functions import body as B
 from mailgraph.functions import headers as H
 from mailgraph.operators.numbering import position_in_group
+from mailgraph.session import settle
 
 RECIPIENT = ["user_folder", "to_key"]
 SUBJECTS_PER_PART = 1000
@@ -106,7 +107,7 @@ def recipient_subjects(mails: DataFrame, per_part: int = SUBJECTS_PER_PART) -> D
     )
     last = F.max_by(F.struct("to_email", "to_name"), F.struct(*FILE_ORDER)).alias("last")
     named = _usable(mails).groupBy(*RECIPIENT).agg(last).select(*RECIPIENT, "last.*")
-    return parts.join(named, RECIPIENT).select(
+    return parts.join(settle(named), RECIPIENT).select(
         *RECIPIENT,
         "to_email",
         "to_name",
@@ -180,6 +181,6 @@ def sender_export(
     sender = [F.col("from_email").alias("email"), F.col("from_name").alias("name")]
     if shape != "subjects":
         sender.append(F.col("from_label").alias("label"))
-    return documents.join(heads, "user_folder").select(
+    return documents.join(settle(heads), "user_folder").select(
         "user_folder", "part", F.struct(*sender).alias("from"), F.col("members.element").alias("to")
     )

@@ -60,21 +60,25 @@ def idf(tf: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
 def word_tfidf(tf: DataFrame) -> DataFrame:
     """One value per word: its rel_tf in the first document holding it, times its idf."""
     per_word = tf.groupBy("word").agg(
-        F.count("*").alias("df"), F.min(F.struct("file_id", "rel_tf")).alias("first")
+        F.count("*").alias("df"), F.min_by("rel_tf", "file_id").alias("first_tf")
     )
-    value = product4(F.col("first.rel_tf"), smooth_idf(document_count(tf), F.col("df")))
+    value = product4(F.col("first_tf"), smooth_idf(document_count(tf), F.col("df")))
     return per_word.select("word", value.alias("tf_idf"))
 
 
 def doc_tfidf(tf: DataFrame, idf_table: DataFrame) -> DataFrame:
-    """Standard form: one value per document and word."""
+    """Standard form: one value per document and word. ``idf_table`` is a stored table."""
     return tf.join(idf_table.select("word", "idf"), "word").select(
         "file_id", "word", product4(F.col("rel_tf"), F.col("idf")).alias("tf_idf")
     )
 
 
 def top_terms(tf: DataFrame, tfidf: DataFrame, n: int = 15) -> DataFrame:
-    """The ``n`` highest-valued words of every document, ties by word."""
+    """The ``n`` highest-valued words of every document, ties by word.
+
+    ``tfidf`` is a stored table of word values. The window keeps ``n`` rows per document and
+    task before its shuffle.
+    """
     scored = tf.select("file_id", "word").join(tfidf, "word")
     best = Window.partitionBy("file_id").orderBy(F.desc("tf_idf"), "word")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)

@@ -40,7 +40,7 @@ def new_files(files: DataFrame, mail_list: DataFrame | None) -> DataFrame:
     if mail_list is None:
         return files
     links = files.withColumn("file_link", H.escape_path(F.col("path")))
-    return not_in(links, mail_list, ["file_link"]).drop("file_link")
+    return not_in(links, mail_list, ["file_link"], unique=True).drop("file_link")
 
 
 def file_numbers(files: DataFrame, start: int = 1) -> DataFrame:
@@ -86,7 +86,7 @@ def build_tables(
     valid = messages.filter("status = 'valid'")
     kept, log = dedupe_messages(valid, existing_edges, tol)
     log = settle(log)
-    kept = not_in(valid, log, ["file_id"])
+    kept = not_in(valid, log, ["file_id"], unique=True)
     return MailTables(
         mail_list=M.mail_list_table(valid),
         emails=M.emails_table(kept),

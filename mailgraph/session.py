@@ -53,6 +53,10 @@ def settle(df: DataFrame) -> DataFrame:
 
     A Parquet table is smaller than an RDD checkpoint and is read column by column. It stays
     in the folder, like a checkpoint, until the cluster's retention rule removes it.
+
+    Lookup tables are settled before they are joined to rows with hot keys: adaptive execution
+    splits a hot key only where both join sides come straight from a shuffle, which the result
+    of an aggregation by that key does not.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/mailgraph/{uuid.uuid4().hex}"

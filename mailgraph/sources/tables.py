@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailgraph.session import settle
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -24,9 +26,13 @@ def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None
     writer.parquet(path)
 
 
-def not_in(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``df`` whose key is not yet in ``existing``."""
-    return df.join(existing.select(*keys).distinct(), keys, "left_anti")
+def not_in(df: DataFrame, existing: DataFrame, keys: list[str], unique: bool = False) -> DataFrame:
+    """Rows of ``df`` whose key is not yet in ``existing``.
+
+    ``unique`` says that ``existing`` is a stored table with one row per key.
+    """
+    found = existing.select(*keys)
+    return df.join(found if unique else settle(found.distinct()), keys, "left_anti")
 
 
 def absent_rows(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,7 +42,7 @@ def absent_rows(df: DataFrame, existing: DataFrame, keys: list[str]) -> DataFram
 
 def mark_status(df: DataFrame, done: DataFrame, key: str, status: str = "OK") -> DataFrame:
     """New version of ``df`` with ``status`` set on every row whose key is in ``done``."""
-    flags = done.select(key).distinct().withColumn("_done", F.lit(True))
+    flags = settle(done.select(key).distinct()).withColumn("_done", F.lit(True))
     new_status = F.when(F.col("_done"), F.lit(status)).otherwise(F.col("status"))
     return df.join(flags, key, "left").withColumn("status", new_status).drop("_done")
 

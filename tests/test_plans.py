@@ -1,8 +1,11 @@
 """Plans hold no cross product, no single-task window and no Python where none is needed."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
+from mailgraph.operators import dedupe, graph
+from mailgraph.sources.tables import not_in
 
 SF_DIR = "/root/testdata/sf0.001"
 NATIVE = [
@@ -29,3 +32,57 @@ def test_scan_reads_only_what_is_used(spark, capsys):
     plan = capsys.readouterr().out
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint>" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+
+
+SPLIT_EARLY = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    "spark.sql.shuffle.partitions": "32",
+}
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = {key: spark.conf.get(key, None) for key in SPLIT_EARLY}
+    for key, value in SPLIT_EARLY.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def final_plan(df):
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString()
+
+
+def hot_or_own(prefix):
+    return F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit(prefix), F.col("id")))
+
+
+def test_hot_sender_is_split(spark, small_splits):
+    edges = spark.range(0, 60_000, 1, 8).select(
+        hot_or_own("u").alias("sender"), F.concat(F.lit("v"), F.col("id")).alias("recipient")
+    )
+    found = graph.with_node_ids(edges, graph.accounts(edges))
+    rows, plan = final_plan(found.groupBy("recipient").agg(F.max("sender_id"), F.max("recipient_id")))
+    assert len(rows) == 60_000 and "skew=true" in plan
+
+
+def test_hot_word_is_split(spark, small_splits):
+    rows = spark.range(0, 60_000, 1, 8).select(hot_or_own("w").alias("word"), "id")
+    kept, plan = final_plan(not_in(rows, rows.filter("id < 3000").select("word"), ["word"]))
+    assert len(kept) == 38_000 and "skew=true" in plan
+
+
+def test_hot_pair_is_split_in_dedupe(spark, small_splits):
+    edges = spark.range(0, 60_000, 1, 8).select(
+        F.col("id").alias("file_id"),
+        hot_or_own("u").alias("sender"),
+        F.lit("r").alias("recipient"),
+        F.lit(5.0).alias("msg_time"),
+    )
+    found, plan = final_plan(dedupe._contested(edges, 2.0))
+    assert len(found) == 20_000 and "skew=true" in plan
