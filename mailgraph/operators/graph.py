@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailgraph.operators.numbering import dense_ids
+from mailgraph.session import settle
 
 DAY = 86400
 
@@ -135,6 +136,7 @@ def in_month_windows(edges: DataFrame) -> DataFrame:
 
 def number_snapshots(windowed: DataFrame) -> DataFrame:
     """Add ``snapshot``: non-empty windows counted from 0. The window list is one row a month."""
+    windowed = settle(windowed)
     windows = dense_ids(windowed.select("window_start").distinct(), ["window_start"], "snapshot")
     return windowed.join(F.broadcast(windows), "window_start")
 

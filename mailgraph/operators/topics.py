@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mailgraph.operators.numbering import dense_ids
 
-# Topic counts tried by the reference sweeps: fixed values.
+# Topic counts tried for mails and for pairs, and terms shown per topic.
 MAIL_TOPIC_COUNTS = list(range(2, 50, 6))
 PAIR_TOPIC_COUNTS = list(range(2, 50, 8))
 TERMS_PER_TOPIC = 15
