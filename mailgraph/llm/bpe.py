@@ -143,13 +143,19 @@ class Transducer:
                 yield from self._plain(part)
 
     def _plain(self, text: str) -> Iterator[bytes]:
-        if "\0" in text or _UNSAFE_CUT.search(text):
+        cut = self.cut(text)
+        if cut is None:
             return (self._words[match.group()] for match in self._pretokens.finditer(text))
+        return map(self._memo.__getitem__, cut)
+
+    def cut(self, text: str) -> list[str] | None:
+        """Pieces that are encoded alone; None where white space stands so that it needs a look."""
         if not text:
-            return iter(())
+            return []
+        if "\0" in text or _UNSAFE_CUT.search(text):
+            return None
         # White space starts a pretoken here, so the text falls apart at it.
-        cut = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        return map(self._memo.__getitem__, cut)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     def _piece(self, text: str) -> bytes:
         """Ids of a text between two safe cuts."""
