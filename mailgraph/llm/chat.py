@@ -85,17 +85,19 @@ def _layout_paths(layout: Layout) -> list[str]:
     return schema_paths(T._parse_datatype_string(layout.fields))
 
 
-def layouts_by_fingerprint(layouts: list[Layout] = LAYOUTS) -> dict[str, Layout]:
-    return {fingerprint(_layout_paths(layout)): layout for layout in layouts}
+def layout_table(layouts: list[Layout] = LAYOUTS) -> dict[str, tuple[str, frozenset[str]]]:
+    """Name and paths of the layouts by their fingerprint."""
+    paths = {layout.name: frozenset(_layout_paths(layout)) for layout in layouts}
+    return {fingerprint(list(p)): (name, p) for name, p in paths.items()}
 
 
-def pick(paths: list[str], layouts: list[Layout] = LAYOUTS) -> Layout | None:
+def pick(paths: list[str], table: dict[str, tuple[str, frozenset[str]]]) -> str | None:
     """The layout with the fingerprint of the paths, fields that no layout knows left out; else
     the one with the most paths among those that are all there; else none."""
-    known = {p for layout in layouts for p in _layout_paths(layout)}
-    exact = layouts_by_fingerprint(layouts).get(fingerprint([p for p in paths if p in known]))
-    inside = [layout for layout in layouts if set(_layout_paths(layout)) <= set(paths)]
-    return exact or max(inside, key=lambda layout: len(_layout_paths(layout)), default=None)
+    known = frozenset().union(*(p for _, p in table.values()))
+    exact = table.get(fingerprint([p for p in paths if p in known]))
+    inside = [(len(p), name) for name, p in table.values() if p <= set(paths)]
+    return exact[0] if exact else max(inside, default=(0, None))[1]
 
 
 def _clean(turns: Column) -> Column:
@@ -115,7 +117,8 @@ def canonical(df: DataFrame, layouts: list[Layout] = LAYOUTS) -> DataFrame:
     conversation. A conversation is one value of the result, so its turns meet in one task.
     Null roles and texts are empty. Fields that no layout knows are ignored.
     """
-    layout = pick(schema_paths(df.schema), layouts)
+    name = pick(schema_paths(df.schema), layout_table(layouts))
+    layout = next((one for one in layouts if one.name == name), None)
     if layout is None:
         raise ValueError(f"no layout has the fields {df.columns}")
     key = F.col(layout.id).alias("conv_id")
@@ -135,13 +138,13 @@ def canonical_json(df: DataFrame, record: str, layouts: list[Layout] = LAYOUTS)
     without a layout, null and broken ones come back with null turns and layout.
     """
     whole = [layout for layout in layouts if layout.order is None]
+    known = layout_table(whole)
 
     def name_of(text: str | None) -> str | None:
         try:
-            layout = pick(record_paths(json.loads(text)), whole)
+            return pick(record_paths(json.loads(text)), known)
         except (TypeError, ValueError):
             return None
-        return layout and layout.name
 
     def named(batches):
         for batch in batches:
@@ -150,11 +153,10 @@ def canonical_json(df: DataFrame, record: str, layouts: list[Layout] = LAYOUTS)
 
     rows = df.select(F.col(record).alias("r")).mapInArrow(named, "r string, layout string")
     ids, turns = F.lit(None).cast("long"), F.lit(None).cast(TURNS)
-    fields = []
     for n, layout in enumerate(whole):
-        rows = rows.withColumn(f"f{n}", F.when(F.col("layout") == layout.name, F.from_json("r", layout.fields)))
-        fields.append(layout)
-    for n, layout in enumerate(fields):
+        here = F.col("layout") == layout.name
+        rows = rows.withColumn(f"f{n}", F.when(here, F.from_json("r", layout.fields)))
+    for n, layout in enumerate(whole):
         # The layout's expressions read its own fields.
         inner = f"element_at(transform(array(f{n}), f -> struct({_scoped(layout, 'f')})), 1)"
         here = F.col("layout") == layout.name
