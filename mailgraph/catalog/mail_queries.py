@@ -16,6 +16,7 @@ from mailgraph.operators.near import near_neighbours, nearest_within
 from mailgraph.plans import mail_etl
 from mailgraph.session import scratch_folder, settle
 from mailgraph.sources import mail_files as S
+from mailgraph.sources import tables
 from mailgraph.streaming import mail_stream
 
 EVENT_TOL = 3600.0
@@ -167,48 +168,53 @@ def _exported(spark, sf_dir):
     return E.export_mails(V.export_source(spark, sf_dir))
 
 
-def _documents(spark, sf_dir, shape):
-    documents = E.sender_export(_exported(spark, sf_dir), shape)
-    return documents.select("user_folder", "from.*", F.posexplode("to").alias("n", "t"))
+def _parts(prefix, fields):
+    return [F.col(f"{prefix}.{c}").alias(f"{prefix}_{c}") for c in fields]
 
 
 def sender_export_subjects(spark, sf_dir):
-    rows = _documents(spark, sf_dir, "subjects")
-    lines = F.posexplode("t.subject").alias("position", "subject")
-    head = [F.col("email").alias("from_email"), F.col("name").alias("from_name")]
-    tail = [F.col("t.email").alias("to_email"), F.col("t.name").alias("to_name")]
-    return rows.select("user_folder", *head, *tail, lines)
+    records = E.sender_export(_exported(spark, sf_dir), "subjects")
+    people = _parts("from", ["email", "name"]) + _parts("to", ["email", "name"])
+    return records.select("user_folder", *people, "position", "subject")
 
 
 def sender_export_subjects_labelled(spark, sf_dir):
-    rows = _documents(spark, sf_dir, "subjects_labelled")
-    lines = F.posexplode("t.subject").alias("position", "subject")
-    tail = [F.col(f"t.{c}").alias(f"to_{c}") for c in ("email", "name", "label")]
-    return rows.select("user_folder", F.col("label").alias("from_label"), *tail, lines)
+    records = E.sender_export(_exported(spark, sf_dir), "subjects_labelled")
+    people = _parts("from", ["label"]) + _parts("to", ["email", "name", "label"])
+    return records.select("user_folder", *people, "position", "subject")
 
 
 def sender_export_subjects_jsonl(spark, sf_dir):
-    """Header and recipient records as written to JSON lines."""
+    """Head and subject records, written as JSON lines and read back."""
+    path = f"{scratch_folder(spark)}/exports-{uuid.uuid4().hex}"
     records = E.sender_export(_exported(spark, sf_dir), "subjects_jsonl")
-    return records.select(
-        "user_folder",
-        F.array_join("from", "|").alias("from"),
-        F.array_join("to", "|").alias("to"),
-        F.array_join("subject", "|").alias("subject"),
-    )
+    tables.write_exports(records, path)
+    written = spark.read.schema(records.schema).json(f"{path}/records")
+    pairs = [F.array_join(c, "|").alias(c) for c in ("from", "to")]
+    return written.select("user_folder", *pairs, "position", "subject")
+
+
+def exports_left(spark, sf_dir):
+    """Senders still to be exported after an export of every third user, and before any."""
+    path = f"{scratch_folder(spark)}/exports-{uuid.uuid4().hex}"
+    records = settle(E.sender_export(_exported(spark, sf_dir), "latest_full"))
+    first = tables.unexported(records, path).select("user_folder", F.lit("first").alias("run"))
+    first = settle(first.distinct())
+    number = F.regexp_extract("user_folder", "([0-9]+)", 1).cast("bigint")
+    tables.write_exports(records.where(number % 3 == 0), path)
+    second = tables.unexported(records, path).select("user_folder", F.lit("second").alias("run"))
+    return first.unionByName(second.distinct())
 
 
 def sender_export_latest_full(spark, sf_dir):
-    rows = _documents(spark, sf_dir, "latest_full")
+    records = E.sender_export(_exported(spark, sf_dir), "latest_full")
     fields = ["email", "name", "label", "subject", "date", "body"]
-    return rows.select(
-        "user_folder", F.col("label").alias("from_label"), *[F.col(f"t.{c}").alias(f"to_{c}") for c in fields]
-    )
+    return records.select("user_folder", *_parts("from", ["label"]), *_parts("to", fields))
 
 
 def sender_export_latest_counted(spark, sf_dir):
-    rows = _documents(spark, sf_dir, "latest_counted")
-    return rows.select("user_folder", "t.email", "t.name", "t.label", "t.subject.*", "t.body.*")
+    records = E.sender_export(_exported(spark, sf_dir), "latest_counted")
+    return records.select("user_folder", "to.email", "to.name", "to.label", "to.subject.*", "to.body.*")
 
 
 _WORDS = r"CAST(len(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+')) AS VARCHAR)"
@@ -289,25 +295,31 @@ FROM conversations""",
     "sender_export_subjects": (
         sender_export_subjects,
         f"""WITH {V.EXPORT}, {_LAST}
-SELECT user_folder, from_email, from_name, l.to_email, l.to_name, CAST(position - 1 AS INTEGER) AS position,
+SELECT user_folder, from_email, from_name, l.to_email, l.to_name, position,
   concat(subject, ' (', date, ')') AS subject
 FROM elements JOIN last l USING (user_folder, to_key)""",
     ),
     "sender_export_subjects_labelled": (
         sender_export_subjects_labelled,
         f"""WITH {V.EXPORT}, {_LAST}
-SELECT user_folder, from_label, l.to_email, l.to_name, l.to_label, CAST(position - 1 AS INTEGER) AS position,
+SELECT user_folder, from_label, l.to_email, l.to_name, l.to_label, position,
   concat(subject, ' (', date, ')') AS subject
 FROM elements JOIN last l USING (user_folder, to_key)""",
     ),
     "sender_export_subjects_jsonl": (
         sender_export_subjects_jsonl,
         f"""WITH {V.EXPORT}, {_LAST}
-SELECT DISTINCT user_folder, concat(from_email, '|', from_name) AS "from", NULL AS "to", NULL AS subject FROM elements
+SELECT DISTINCT user_folder, concat(from_email, '|', from_name) AS "from", NULL AS "to",
+  CAST(NULL AS BIGINT) AS position, NULL AS subject FROM elements
+UNION ALL
+SELECT user_folder, NULL, concat(l.to_email, '|', l.to_name), position, concat(subject, ' (', date, ')')
+FROM elements JOIN last l USING (user_folder, to_key)""",
+    ),
+    "exports_left": (
+        exports_left,
+        """SELECT DISTINCT concat('user', conv_id) AS user_folder, 'first' AS run FROM conversations
 UNION ALL
-SELECT user_folder, NULL, concat(l.to_email, '|', l.to_name),
-  string_agg(concat(subject, ' (', date, ')'), '|' ORDER BY position)
-FROM elements JOIN last l USING (user_folder, to_key) GROUP BY user_folder, to_key, l.to_email, l.to_name""",
+SELECT DISTINCT concat('user', conv_id), 'second' FROM conversations WHERE conv_id % 3 <> 0""",
     ),
     "sender_export_latest_full": (
         sender_export_latest_full,

@@ -37,7 +37,7 @@ def _lda(spark, sf_dir):
     bow = settle(T.bag_of_words(body_words(spark, sf_dir)))
     vocab = settle(T.vocabulary(bow))
     vectors = settle(T.bow_vectors(bow, vocab))
-    return T.fit_lda(vectors, K, vocab.count()), vocab, vectors
+    return T.fit_lda(vectors, K), vocab, vectors
 
 
 def lda_topics(spark, sf_dir):
@@ -86,9 +86,9 @@ def topic_terms(spark, sf_dir):
 
 
 def best_k(spark, sf_dir):
-    """The choice rule on made scores: one per label, its highest first topic weight."""
+    """The choice rule on made scores: one per label, its highest topic weight."""
     labels = V.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("k"))
-    scores = V.vectors(spark, sf_dir).filter("topic = 0").join(labels, "vec_id")
+    scores = V.vectors(spark, sf_dir).join(labels, "vec_id")
     return T.best_k(scores.groupBy("k").agg(F.max("prob").alias("coherence")))
 
 
@@ -145,14 +145,14 @@ def best_model(spark, sf_dir):
     """Topic count chosen by coherence, and the dominant topics of the chosen model."""
     docs = settle(X.document_tokens(spark, sf_dir))
     words = R.terms.term_frequency(docs).select("file_id", "word")
-    found = topic_model.choose_nmf(words, docs, T.PAIR_TOPIC_COUNTS[:2], passes=3)
+    found = topic_model.choose_nmf(words, docs, T.PAIR_TOPIC_COUNTS)
     return found.dominant_topic.withColumn("k", F.lit(found.k))
 
 
 def dynamic_graph_snapshots(spark, sf_dir):
     """Monthly edge vectors with topics scored by a model of the mail bodies."""
     tf = body_words(spark, sf_dir)
-    model = N.fit_nmf(T.bag_of_words(tf), K, passes=3)
+    model = N.fit_nmf(T.bag_of_words(tf), K)
     n = V.table(spark, sf_dir, "documents").count()
     edges = settle(V.edges(spark, sf_dir).withColumn("file_id", F.col("file_id") % n))
     path = f"{scratch_folder(spark)}/snapshots-{uuid.uuid4().hex}"
@@ -193,7 +193,7 @@ WHERE r <= 3 AND topic IN (SELECT topic FROM leaders)""",
     "best_k": (
         best_k,
         f"""WITH {V.VECTORS}
-SELECT label AS k, max(prob) AS coherence FROM vectors JOIN embeddings USING (vec_id) WHERE topic = 0
+SELECT label AS k, max(prob) AS coherence FROM vectors JOIN embeddings USING (vec_id)
 GROUP BY label ORDER BY coherence DESC, k LIMIT 1""",
     ),
     "window_counts": (

@@ -21,12 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a few files out to all tasks before costly text work.
+    """Deal texts out to the number of tasks that the session sets, if it sets any.
 
-    A table of at least as many files as tasks is read as it is.
+    For small tables that lie in one row group; without the setting a table is read as it is.
     """
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= tasks else df.repartition(tasks)
+    tasks = df.sparkSession.conf.get("spark.mailgraph.textTasks", None)
+    return df if tasks is None else df.repartition(int(tasks))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,22 +193,27 @@ EVENTS = """ev AS (
 
 
 def vectors(spark: SparkSession, sf_dir: str, key: str = "vec_id") -> DataFrame:
-    """Topic probabilities (4 places) from the first ten values of each embedding."""
-    cells = table(spark, sf_dir, "embeddings").selectExpr(
+    """Topic probabilities (4 places) from all values of each embedding: value i is part of
+    topic i modulo TOPICS."""
+    values = table(spark, sf_dir, "embeddings").selectExpr(
         f"vec_id AS {key}",
-        "posexplode(transform(slice(embedding, 1, 10),"
-        " v -> cast(floor(abs(cast(v AS double)) * 10000) AS bigint))) AS (topic, a)",
+        "posexplode(transform(embedding,"
+        " v -> cast(floor(abs(cast(v AS double)) * 10000) AS bigint))) AS (place, a)",
     )
+    topic = (F.col("place") % TOPICS).alias("topic")
+    cells = values.groupBy(key, topic).agg(F.sum("a").alias("a"))
     total = cells.groupBy(key).agg(F.sum("a").alias("total"))
     share = F.expr("((20000 * a + total) div (2 * total)) / 10000.0D")
     return cells.join(total, key).select(key, "topic", share.alias("prob"))
 
 
 VECTORS = """cells AS (
-  SELECT vec_id, unnest(range(0, 10)) AS topic,
-         unnest(list_transform(embedding[1:10],
-           lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 10000) AS BIGINT))) AS a
-  FROM embeddings),
+  SELECT vec_id, place % 10 AS topic, CAST(sum(a) AS BIGINT) AS a FROM (
+    SELECT vec_id, unnest(range(0, len(embedding))) AS place,
+           unnest(list_transform(embedding,
+             lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 10000) AS BIGINT))) AS a
+    FROM embeddings)
+  GROUP BY vec_id, place % 10),
 vectors AS (
   SELECT vec_id, CAST(topic AS INTEGER) AS topic, CAST(
          ((20000 * a + sum(a) OVER (PARTITION BY vec_id)) // (2 * sum(a) OVER (PARTITION BY vec_id))) AS DOUBLE)

@@ -15,17 +15,28 @@ WORD = r"[\p{L}\p{N}_]+"
 
 # Of a run of slash pairs only the last pair counts as the hit.
 SLASH_PAIRS = rf"(/{DIGIT_OR_NON_WORD})+"
-COMMENT = r"<!--?[^\n]*-->"
+# From the first opening of a line to the line's last end; looked for once in each line.
+COMMENT = r"(?<![^\n])(?:(?!<!-)[^\n])*+(<!--?[^\n]*-->)"
 # Tried only where a run of address characters starts, or right after the hit before, which
 # finds the same addresses without trying every suffix of a long word.
 _ADDRESS_START = r"(?:\G|(?<![a-zA-Z0-9._%+-]))"
 MAIL_ADDRESS = _ADDRESS_START + r"[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-WEB_ADDRESS = r"(?:https?://|www\d{0,3}\.)[^\s()<>]+"
+WEB_ADDRESS = r"\b(?:[a-z]+://|www\.)\S+"
+
+
+TAG = "<[^>]*>"
 
 
 def cut_from(text: Column, markers: list[str]) -> Column:
-    """Delete everything from the first hit of any marker to the end."""
-    return F.regexp_replace(text, f"(?s)(?:{'|'.join(markers)}).*", "")
+    """Delete everything from the first hit of any marker to the end.
+
+    A run of dashes before a marker is tried from its start only. A tag is cut first: if the
+    first `<` has no `>` after it, no other has. Both keep long runs linear.
+    """
+    if TAG in markers:
+        text = F.regexp_replace(text, r"(?s)\A([^<]*+)<[^>]*+>.*", "$1")
+    rest = [m.replace("-*", "(?<!-)-*+", 1) for m in markers if m != TAG]
+    return F.regexp_replace(text, f"(?s)(?:{'|'.join(rest)}).*", "")
 
 
 def clean_body(text: Column, owner: str = fixed.NOTICE_OWNER, strip_urls: bool = False) -> Column:
@@ -33,7 +44,7 @@ def clean_body(text: Column, owner: str = fixed.NOTICE_OWNER, strip_urls: bool =
     x = F.replace(F.replace(text, F.lit("*"), F.lit("")), F.lit("_"), F.lit(""))
     x = cut_from(x, [*fixed.CUTS_BEFORE_SLASHES, fixed.NOTICE_OPENING + owner])
     x = remove_hits(x, SLASH_PAIRS, 1)
-    x = remove_hits(x, COMMENT)
+    x = remove_hits(x, COMMENT, 1)
     x = cut_from(x, fixed.CUTS_BEFORE_ADDRESSES)
     x = remove_hits(x, MAIL_ADDRESS)
     if strip_urls:

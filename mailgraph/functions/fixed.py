@@ -28,6 +28,12 @@ CUTS_LAST = [
     "-",
 ]
 
+# Month names of mail dates; their first three letters are names, too.
+MONTHS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september",
+    "october", "november", "december",
+]
+
 # Subject prefixes by mail category.
 REPLY_PREFIXES = ["RE:", "Re:", "re:"]
 FORWARD_PREFIXES = ["FW:", "Fw:", "fw:"]

@@ -11,10 +11,12 @@ from mailgraph.functions import fixed
 # then removed as plain text, so a hit also disappears where it is part of a longer word.
 # Python's \w and \S are Unicode-aware; the classes spell that out.
 _NOT_SPACE = r"[^\s\p{Z}\x0B\x1C-\x1F\x85]"
+# An address or a tag is looked for once in a run without blanks, from its start or from its
+# first `<`: what is not found there is not found further on either, and long runs stay linear.
 _ADDRESS_PATTERNS = [
-    rf"<?{_NOT_SPACE}+@{_NOT_SPACE}+>?",
-    r"@[\s\p{Z}][\p{L}\p{N}_]+",
-    rf"</?{_NOT_SPACE}+>",
+    (rf"(?<!{_NOT_SPACE})<?{_NOT_SPACE}+@{_NOT_SPACE}+>?", 0),
+    (r"@[\s\p{Z}][\p{L}\p{N}_]+", 0),
+    (rf"(?<!{_NOT_SPACE}){_NOT_SPACE[:-1]}<]*+(</?{_NOT_SPACE}+>)", 1),
 ]
 
 
@@ -53,8 +55,8 @@ def clean_export_header(value: Column) -> Column:
 
 def strip_addresses(name: Column) -> Column:
     """Remove mail addresses and tags from a display name."""
-    for pattern in _ADDRESS_PATTERNS:
-        name = remove_hits(name, pattern)
+    for pattern, group in _ADDRESS_PATTERNS:
+        name = remove_hits(name, pattern, group)
     return name
 
 
@@ -81,10 +83,36 @@ def mail_category(subject: Column, fix_fwd: bool = False) -> Column:
     return F.when(start.isin(fixed.REPLY_PREFIXES), "RE").when(forward, "FWD").otherwise("INIT")
 
 
+# Groups: day, month, year, hour, minute, second; and month, day, hour, minute, second, year.
+_DAY_FIRST = r"(\d{1,2})[\s-]+([a-z]{3,9})\.?,?[\s-]+(\d{4}|\d{2}),?\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?"
+_YEAR_LAST = r"([a-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?\s+(?:[a-z]{1,5}\s+)?(\d{4})"
+
+
 def mail_epoch(date: Column) -> Column:
-    """Epoch seconds of a mail date. The zone offset is ignored; NULL when malformed."""
-    core = F.regexp_extract(date, r"(\d{1,2} \w{3} \d{4} \d{1,2}:\d{2}:\d{2})", 1)
-    return F.unix_timestamp(F.try_to_timestamp(core, F.lit("d MMM yyyy H:mm:ss"))).cast("double")
+    """Epoch seconds of a mail date. The zone offset is ignored; NULL when malformed.
+
+    Seconds may be missing, years have two digits (from 69 on they are of the last century),
+    months their full name, and the year may come last. Days beyond a month's end run on into
+    the next month.
+    """
+    text = F.lower(date)
+
+    def part(pattern: str, group: int) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+    def number(day_first: int, year_last: int) -> Column:
+        return F.coalesce(part(_DAY_FIRST, day_first), part(_YEAR_LAST, year_last)).cast("int")
+
+    name = F.coalesce(part(_DAY_FIRST, 2), part(_YEAR_LAST, 1))
+    short = F.array(*[F.lit(m[:3]) for m in fixed.MONTHS])
+    known = name.isin(fixed.MONTHS) | (F.length(name) == 3)
+    month = F.array_position(short, F.substring(name, 1, 3)).cast("int")
+    year = number(3, 6)
+    year = F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
+    first = F.make_date(year, F.when(known & (month > 0), month), F.lit(1))
+    days = F.unix_date(first).cast("bigint") + number(1, 2) - 1
+    clock = number(4, 3) * 3600 + number(5, 4) * 60 + F.coalesce(number(6, 5), F.lit(0))
+    return (days * 86400 + clock).cast("double")
 
 
 def time_text(epoch: Column) -> Column:

@@ -39,8 +39,11 @@ def each_word(words: str) -> Column:
 
 
 def without_stop_words(words: Column, stop_words: list[str]) -> Column:
-    """Drop stop words, keeping order and repeats. For a list short enough to be a literal."""
+    """Drop stop words, keeping order and repeats. For a list short enough to be a literal.
+
+    The engine looks a word up in a hash set of the list.
+    """
     if not stop_words:
         return words
-    stops = F.lit(sorted(set(stop_words)))
-    return F.filter(words, lambda w: ~F.array_contains(stops, w))
+    stops = sorted(set(stop_words))
+    return F.filter(words, lambda w: ~w.isin(stops))

@@ -6,9 +6,9 @@ within the tolerance. A dropped mail suppresses nothing. Arrival order is ``file
 This equals taking, again and again, every mail that arrived before all undecided mails it
 conflicts with, keeping it, and dropping what conflicts with it. Each round is joins and
 aggregations over the undecided rows only; dense heaps of mails collapse in the first rounds.
-Long runs of mails that each depend on the one before would need many rounds, so from the
-third on each task also decides, inside one bounded time-sorted partition, all it can without
-knowing its neighbours. What fits one such partition from the start is decided there at once.
+Long runs of mails that each depend on the one before would need many rounds, so in each round
+every task also decides, inside one bounded time-sorted partition, all it can without knowing
+its neighbours.
 """
 
 from __future__ import annotations
@@ -145,23 +145,22 @@ def dedupe_messages(
     edges = mail_edges(mails)
     log = None
     if existing_edges is not None:
+        # Of the history only the time span of the batch and its senders can matter.
+        span = edges.agg(F.min("msg_time") - tol, F.max("msg_time") + tol).first()
         stored = existing_edges.select(*PAIR, F.col("msg_time").cast("double"))
+        stored = stored.filter(F.col("msg_time").between(*span))
+        stored = stored.join(settle(edges.select("sender").distinct()), "sender", "left_semi")
         hits = nearest_within(edges, stored, PAIR, "msg_time", tol)
         log = settle(_nearest_per_mail(hits.withColumnRenamed("prior_time", "prior_msg_time")))
         edges = edges.join(log.select("file_id"), "file_id", "left_anti")
 
     contested = settle(_contested(edges, tol))
     pending, decided, round_no = contested, [], 0
-    while not pending.isEmpty():
+    while left := pending.count():
         round_no += 1
-        parts = -(-pending.count() // rows_per_run)
-        if parts == 1:
-            winners = _run_winners(pending, tol, parts)
-        else:
-            winners = _first_arrivals(pending, tol)
-            if round_no > 2:
-                winners = winners.unionByName(_run_winners(pending, tol, parts)).distinct()
-        winners = settle(winners)
+        parts = -(-left // rows_per_run)
+        winners = _first_arrivals(pending, tol).unionByName(_run_winners(pending, tol, parts))
+        winners = settle(winners.distinct())
         losers = _losers(pending, winners, tol).select("file_id").distinct()
         done = settle(
             winners.withColumn("kept", F.lit(True))

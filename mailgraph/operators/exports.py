@@ -1,8 +1,8 @@
 """Sender exports: who a user wrote to, with subjects or the latest mail.
 
-Grouping is by user folder and cleaned recipient header. Nested arrays are cut into numbered
-parts of bounded length, so a sender or a recipient with a large share of all mails still
-becomes many rows. Within the bounds there is exactly one part.
+Grouping is by user folder and cleaned recipient header. An export is flat at every size: one
+record for each sender, recipient and, for the subjects, dated subject with its position. So a
+sender or a recipient with a large share of all mails is many records and no long array.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from mailgraph.operators.numbering import position_in_group
 from mailgraph.session import settle
 
 RECIPIENT = ["user_folder", "to_key"]
-SUBJECTS_PER_PART = 1000
-RECIPIENTS_PER_DOCUMENT = 200
+SHAPES = ("subjects", "subjects_labelled", "subjects_jsonl", "latest_full", "latest_counted")
 
 # Files are read in numeric name order; other names come last, in text order.
 FILE_ORDER = ["file_number", "file_name"]
@@ -93,46 +92,60 @@ def subject_lines(mails: DataFrame) -> DataFrame:
     return position_in_group(lines, RECIPIENT, FILE_ORDER, "position")
 
 
-def recipient_subjects(mails: DataFrame, per_part: int = SUBJECTS_PER_PART) -> DataFrame:
-    """Subject arrays per user and recipient, ``per_part`` at most in each numbered part.
+def recipient_subjects(mails: DataFrame) -> DataFrame:
+    """Dated subjects per user and recipient with their position, from 1, in file order.
 
     Address, name and label are those of the recipient's last mail.
     """
-    part = F.call_function("div", F.col("position") - 1, F.lit(per_part)).alias("subject_part")
-    parts = (
-        subject_lines(mails)
-        .select(*RECIPIENT, "position", "line", part)
-        .groupBy(*RECIPIENT, "subject_part")
-        .agg(F.sort_array(F.collect_list(F.struct("position", "line"))).alias("lines"))
-    )
     last = F.max_by(F.struct("to_email", "to_name"), F.struct(*FILE_ORDER)).alias("last")
     named = _usable(mails).groupBy(*RECIPIENT).agg(last).select(*RECIPIENT, "last.*")
-    return parts.join(settle(named), RECIPIENT).select(
+    return subject_lines(mails).join(settle(named), RECIPIENT).select(
         *RECIPIENT,
         "to_email",
         "to_name",
         H.recipient_initials(F.col("to_name"), F.col("to_email")).alias("to_label"),
-        "subject_part",
-        F.col("lines.line").alias("subject"),
+        F.col("position").cast("bigint").alias("position"),
+        F.col("line").alias("subject"),
     )
 
 
-def _elements(mails: DataFrame, shape: str, per_part: int) -> DataFrame:
-    """One row per recipient (and part) with the element struct of ``shape``."""
-    email, name, label = (
-        F.col("to_email").alias("email"),
-        F.col("to_name").alias("name"),
-        F.col("to_label").alias("label"),
-    )
-    if shape in ("subjects", "subjects_labelled"):
-        rows = recipient_subjects(mails, per_part)
-        head = [email, name, label] if shape == "subjects_labelled" else [email, name]
-        element = F.struct(*head, "subject")
+def sender_export(mails: DataFrame, shape: str) -> DataFrame:
+    """Records of one of the five shapes, each with the user folder and the sender as ``from``.
+
+    ``subjects``, ``subjects_labelled``: recipient ``to``, position and dated subject.
+    ``subjects_jsonl``: a head record for each sender, without recipient, then the same with
+    ``from`` left out; addresses and names are pairs.
+    ``latest_full``, ``latest_counted``: one record for each recipient with the latest mail.
+    """
+    if shape not in SHAPES:
+        raise ValueError(f"unknown export shape: {shape}")
+    heads = senders(mails)
+    if shape == "subjects_jsonl":
+        pair = F.lit(None).cast("array<string>")
+        head = heads.select(
+            "user_folder",
+            F.array("from_email", "from_name").alias("from"),
+            pair.alias("to"),
+            F.lit(None).cast("bigint").alias("position"),
+            F.lit(None).cast("string").alias("subject"),
+        )
+        rows = recipient_subjects(mails).select(
+            "user_folder", pair.alias("from"), F.array("to_email", "to_name").alias("to"), "position", "subject"
+        )
+        return head.unionByName(rows)
+    person = [F.col("to_email").alias("email"), F.col("to_name").alias("name")]
+    label = F.col("to_label").alias("label")
+    if shape == "subjects":
+        rows = recipient_subjects(mails)
+        fields = [F.struct(*person).alias("to"), "position", "subject"]
+    elif shape == "subjects_labelled":
+        rows = recipient_subjects(mails)
+        fields = [F.struct(*person, label).alias("to"), "position", "subject"]
     elif shape == "latest_full":
-        rows = latest_mails(mails).withColumn("subject_part", F.lit(0).cast("bigint"))
-        element = F.struct(email, name, label, "subject", "date", "body")
-    elif shape == "latest_counted":
-        rows = latest_mails(mails, True).withColumn("subject_part", F.lit(0).cast("bigint"))
+        rows = latest_mails(mails)
+        fields = [F.struct(*person, label, "subject", "date", "body").alias("to")]
+    else:
+        rows = latest_mails(mails, True)
         subject = F.struct(
             F.col("subject").alias("sub"), "date", F.col("sub_count").cast("string").alias("sub_count")
         )
@@ -141,46 +154,10 @@ def _elements(mails: DataFrame, shape: str, per_part: int) -> DataFrame:
             F.col("body_count").cast("string").alias("body_count"),
             F.col("file_name").alias("filename"),
         )
-        element = F.struct(email, name, label, subject.alias("subject"), main.alias("body"))
-    else:
-        raise ValueError(f"unknown export shape: {shape}")
-    return rows.select(*RECIPIENT, "subject_part", element.alias("element"))
-
-
-def sender_export(
-    mails: DataFrame,
-    shape: str,
-    per_part: int = SUBJECTS_PER_PART,
-    per_document: int = RECIPIENTS_PER_DOCUMENT,
-) -> DataFrame:
-    """Nested documents ``from`` / ``to`` per user in one of the five shapes.
-
-    ``subjects_jsonl`` gives one header record and one record per recipient; the others give
-    documents holding up to ``per_document`` recipients each, numbered by ``part``.
-    """
-    heads = senders(mails)
-    if shape == "subjects_jsonl":
-        head = F.array("from_email", "from_name")
-        rows = recipient_subjects(mails, per_part)
-        empty = F.lit(None).cast("array<string>")
-        return heads.select(
-            "user_folder", head.alias("from"), empty.alias("to"), empty.alias("subject")
-        ).unionByName(
-            rows.select(
-                "user_folder", empty.alias("from"), F.array("to_email", "to_name").alias("to"), "subject"
-            )
-        )
-    order = ["to_key", "subject_part"]
-    placed = position_in_group(_elements(mails, shape, per_part), ["user_folder"], order, "position")
-    part = F.call_function("div", F.col("position") - 1, F.lit(per_document)).alias("part")
-    documents = (
-        placed.select("user_folder", "position", "element", part)
-        .groupBy("user_folder", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "element"))).alias("members"))
-    )
+        fields = [F.struct(*person, label, subject.alias("subject"), main.alias("body")).alias("to")]
     sender = [F.col("from_email").alias("email"), F.col("from_name").alias("name")]
     if shape != "subjects":
         sender.append(F.col("from_label").alias("label"))
-    return documents.join(settle(heads), "user_folder").select(
-        "user_folder", "part", F.struct(*sender).alias("from"), F.col("members.element").alias("to")
+    return rows.join(settle(heads), "user_folder").select(
+        "user_folder", F.struct(*sender).alias("from"), *fields
     )

@@ -26,13 +26,14 @@ def nearest_within(
 ) -> DataFrame:
     """Left rows having a right row of the same key within ``tol``, with its ``prior_time``.
 
-    Of two equally near times the earlier is taken.
+    Of two equally near times the earlier is taken. The left side, as a rule the smaller one,
+    is copied to the neighbouring cells; the right side is not.
     """
     asked = left.select(*keys, time).distinct()
-    asked = asked.withColumns({"_cell": cell_of(F.col(time), tol), "_known": F.lit(False)})
+    asked = asked.withColumn("_cell", F.explode(reach(cell_of(F.col(time), tol), tol)))
     known = right.select(*keys, time).distinct()
-    known = known.withColumn("_cell", F.explode(reach(cell_of(F.col(time), tol), tol)))
-    both = asked.unionByName(known.withColumn("_known", F.lit(True)))
+    known = known.withColumns({"_cell": cell_of(F.col(time), tol), "_known": F.lit(True)})
+    both = asked.withColumn("_known", F.lit(False)).unionByName(known)
 
     line = Window.partitionBy(*keys, "_cell").orderBy(time, F.desc("_known"))
     seen = F.when(F.col("_known"), F.col(time))
@@ -48,7 +49,9 @@ def nearest_within(
         found.withColumn("prior_time", F.when(use_before, F.col("_before")).otherwise(F.col("_after")))
         .withColumn("time_diff", F.abs(F.col(time) - F.col("prior_time")))
         .filter(F.col("time_diff") <= tol)
-        .select(*keys, time, "prior_time", "time_diff")
+        .groupBy(*keys, time)
+        .agg(F.min(F.struct("time_diff", "prior_time")).alias("_best"))
+        .select(*keys, time, "_best.prior_time", "_best.time_diff")
     )
     return left.join(found, [*keys, time])
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from mailgraph.operators.dedupe import dedupe_messages
 from mailgraph.operators.numbering import dense_ids
 from mailgraph.session import settle
 from mailgraph.sources import mail_files as S
-from mailgraph.sources.tables import append_table, not_in
+from mailgraph.sources.tables import append_table, not_in, stored
 
 
 @dataclass
@@ -35,12 +34,25 @@ class MailTables:
 TABLES = [f.name for f in fields(MailTables)]
 
 
-def new_files(files: DataFrame, mail_list: DataFrame | None) -> DataFrame:
-    """Files not catalogued yet."""
-    if mail_list is None:
-        return files
+def new_files(files: DataFrame, *known: DataFrame | None) -> DataFrame:
+    """Files whose link is in none of the tables given, each with one row for a link."""
     links = files.withColumn("file_link", H.escape_path(F.col("path")))
-    return not_in(links, mail_list, ["file_link"], unique=True).drop("file_link")
+    for table in known:
+        if table is not None:
+            links = not_in(links, table, ["file_link"], unique=True)
+    return links.drop("file_link")
+
+
+def known_files(spark: SparkSession, folder: str) -> list[DataFrame | None]:
+    """Links of all files that earlier loads have catalogued or logged."""
+    rejected = stored_table(spark, folder, "reject_log")
+    if rejected is not None:
+        rejected = rejected.select(H.escape_path(F.col("path")).alias("file_link"))
+    return [
+        stored_table(spark, folder, "mail_list"),
+        stored_table(spark, folder, "unprocessed_log"),
+        rejected,
+    ]
 
 
 def file_numbers(files: DataFrame, start: int = 1) -> DataFrame:
@@ -102,18 +114,9 @@ def build_tables(
     )
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
 def stored_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     """Rows of all finished batches of a table below ``folder``; None before the first."""
-    loads, table = _stored(spark, f"{folder}/loads"), _stored(spark, f"{folder}/{name}")
+    loads, table = stored(spark, f"{folder}/loads"), stored(spark, f"{folder}/{name}")
     if loads is None or table is None:
         return None
     return table.filter(F.col("batch") <= loads.agg(F.max("batch")).first()[0]).drop("batch")
@@ -136,13 +139,13 @@ def load_batch(
     """
     spark = files.sparkSession
     batch, last_id = 1, 0
-    loads = _stored(spark, f"{folder}/loads")
+    loads = stored(spark, f"{folder}/loads")
     if loads is not None:
         if token is not None and not loads.filter(F.col("token") == token).isEmpty():
             return
         done = loads.agg(F.max("batch"), F.max("last_file_id")).first()
         batch, last_id = done[0] + 1, done[1]
-    files = new_files(files, stored_table(spark, folder, "mail_list"))
+    files = new_files(files, *known_files(spark, folder))
     numbers = settle(file_numbers(files, last_id + 1))
     messages = read_messages(files, numbers, stop_words, lemmas, fix_fwd)
     tables = build_tables(messages, stored_table(spark, folder, "edges"), tol)

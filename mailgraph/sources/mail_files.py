@@ -81,16 +81,29 @@ HEADER_NAMES = {
 }
 
 
+# The line end before the first line that is no `name:`, no continuation and no `From ` line.
+NO_HEADER = r"\n(?!From |[!-9;-~]*+:|[ \t])"
+
+
 def split_mail(files: DataFrame, text: str = "text") -> DataFrame:
     """Replace the raw text by one column per header and ``raw_body``.
 
-    Headers end at the first empty line. A missing header is NULL, an empty one is ''.
+    Headers end at the first line that is neither a header nor a continuation; if it is empty,
+    the body starts after it, else with it. A missing header is NULL, an empty one is ''.
     """
-    halves = files.withColumn("_halves", F.split(F.concat(F.lit("\n"), F.col(text)), "\n\n", 2))
-    block = F.col("_halves")[0]
-    columns = {name: H.header_value(block, header) for name, header in HEADER_NAMES.items()}
-    columns["raw_body"] = F.coalesce(F.try_element_at("_halves", F.lit(2)), F.lit(""))
-    return halves.withColumns(columns).drop("_halves", text)
+    lines = F.concat(F.lit("\n"), F.col(text))
+    end = F.regexp_instr(lines, F.lit(NO_HEADER))
+    marked = files.withColumns({"_lines": lines, "_end": end})
+    ended = F.col("_end") > 0
+    block = F.when(ended, F.expr("substring(_lines, 1, _end - 1)")).otherwise(F.col("_lines"))
+    rest = F.when(ended, F.expr("substring(_lines, _end + 1)")).otherwise(F.lit(""))
+    halves = marked.withColumns({"_block": block, "_rest": rest})
+    columns = {
+        name: H.header_value(F.col("_block"), header) for name, header in HEADER_NAMES.items()
+    }
+    empty_line = F.startswith("_rest", F.lit("\n"))
+    columns["raw_body"] = F.when(empty_line, F.expr("substring(_rest, 2)")).otherwise(F.col("_rest"))
+    return halves.withColumns(columns).drop("_lines", "_end", "_block", "_rest", text)
 
 
 def load_stop_words(spark: SparkSession, path: str) -> DataFrame:

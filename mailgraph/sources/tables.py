@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,21 +48,38 @@ def mark_status(df: DataFrame, done: DataFrame, key: str, status: str = "OK") ->
     return df.join(flags, key, "left").withColumn("status", new_status).drop("_done")
 
 
-def write_exports(documents: DataFrame, path: str) -> None:
-    """Append sender documents as JSON, one folder per user."""
-    documents.write.mode("append").partitionBy("user_folder").json(path)
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if nothing has been written there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
-def unexported(documents: DataFrame, path: str) -> DataFrame:
-    """Documents of users that have no export below ``path`` yet.
+def write_exports(records: DataFrame, path: str, folders: int = 64) -> None:
+    """Append sender records as JSON lines below ``records``, and their users to ``users``.
 
-    Only the folder listing is read, not the exports.
+    Users are spread over a fixed number of folders by a hash, so millions of them do not make
+    millions of folders. The users come last: an export that failed midway is not taken for done.
     """
-    files = documents.sparkSession.read.format("binaryFile").load(path)
-    done = files.select(F.col("user_folder").cast("string"))
-    return not_in(documents, done, ["user_folder"])
+    records = settle(records)
+    folder = F.pmod(F.xxhash64("user_folder"), F.lit(folders)).alias("folder")
+    records.select("*", folder).write.mode("append").partitionBy("folder").json(f"{path}/records")
+    append_table(records.select("user_folder").distinct(), f"{path}/users")
+
+
+def unexported(records: DataFrame, path: str) -> DataFrame:
+    """Records of users that have no export below ``path`` yet; only the list of users is read."""
+    done = stored(records.sparkSession, f"{path}/users")
+    return records if done is None else not_in(records, done, ["user_folder"])
 
 
 def write_snapshots(edges: DataFrame, path: str) -> None:
-    """Snapshot edges as Parquet, one folder per snapshot, so that a reader prunes by month."""
-    edges.write.mode("overwrite").partitionBy("snapshot").parquet(path)
+    """Snapshot edges as Parquet, one folder per snapshot, so that a reader prunes by month.
+
+    Rows are ranged by snapshot and sender first: a task writes to few folders.
+    """
+    ranged = edges.repartitionByRange("snapshot", edges.columns[1])
+    ranged.write.mode("overwrite").partitionBy("snapshot").parquet(path)

@@ -1,5 +1,7 @@
 """Hand-made header and body cases."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,36 @@ def test_dates_ids_and_recipients(spark):
     assert one(spark, lambda X: H.mail_epoch(X), "Thu, 27 Dec 2001 14:37:31 -0800 (PST)") == 1009463851.0
     assert one(spark, lambda X: H.mail_epoch(X), "27 Dec 2001 4:37:31") == 1009427851.0
     assert one(spark, lambda X: H.mail_epoch(X), "yesterday") is None
+    for text in ["Mon, 14 May 2001 16:39 -0700", "Mon, 14 May 01 16:39:00 -0700", "Mon,  14  May 2001  16:39:00",
+                 "Mon May 14 16:39:00 2001", "14 MAY 2001 16:39:00", "Mon, 14-May-2001 16:39:00"]:
+        assert one(spark, lambda X: H.mail_epoch(X), text) == 989858340.0
+    assert one(spark, lambda X: H.mail_epoch(X), "31 February 2001 00:00:00") == 983577600.0
+    assert one(spark, lambda X: H.mail_epoch(X), "1 Jan 69 00:00:00") == -31536000.0
+    assert one(spark, lambda X: H.mail_epoch(X), "14 Foo 2001 16:39:00") is None
+
+
+def test_headers_end_at_the_first_other_line(spark):
+    def split(text):
+        row = S.split_mail(spark.createDataFrame([(text,)], "text string")).first()
+        return row["from_header"], row["x_to"], row["raw_body"]
+
+    assert split("From: a\nX-To: b\n\nbody\n\nmore") == ("a", "b", "body\n\nmore")
+    assert split("From: a\nstray line\nX-To: b\n\nbody") == ("a", None, "stray line\nX-To: b\n\nbody")
+    assert split("From: a\n folded\nX-To: b") == ("a\n folded", "b", "")
+    assert split("\nFrom: a") == (None, None, "From: a")
+    assert split("no header\nat all") == (None, None, "no header\nat all")
+    assert split("") == (None, None, "")
+
+
+def test_long_runs_take_linear_time(spark):
+    """A megabyte of one kind of character; with quadratic patterns this would take hours."""
+    runs = ["-" * 1_000_000, "<" * 1_000_000, "a" * 1_000_000, "<!-" * 300_000, "Ab9+/" * 200_000]
+    df = spark.createDataFrame([(r,) for r in runs], "text string")
+    start = time.monotonic()
+    kept = df.select(F.length(B.clean_body(F.col("text"))).alias("n"), H.strip_addresses(F.col("text")).alias("s")).collect()
+    assert time.monotonic() - start < 60
+    assert [r["s"] for r in kept] == runs
+    assert kept[2]["n"] == 1_000_000 and kept[0]["n"] == 0
     assert one(spark, lambda X: H.message_id(F.lit("a"), F.lit(1009463851.0)), "") == "a:1009463851.0"
     assert one(spark, lambda X: H.split_recipients(X), "a@x, \n\t<b@x>,") == ["a@x", "b@x", ""]
     assert one(spark, lambda X: H.split_recipients(X), None) == []
