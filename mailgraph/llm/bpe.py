@@ -31,7 +31,7 @@ _UNSAFE_CUT = regex.compile(r"\p{White_Space}[ \n](?:\p{White_Space}|\Z)")
 # Bytes taken into the window at a time; results do not depend on it.
 STEP = 2048
 # Remembered pieces of text at most, and the longest one remembered.
-MEMO_PIECES, MEMO_LENGTH = 400_000, 64
+MEMO_PIECES, MEMO_LENGTH = 200_000, 64
 _BLOCK = 1 << 16
 
 
@@ -42,17 +42,26 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """Bytes of all tokens of a byte-level BPE file, added ones as their text."""
+    names = byte_names()
+    found = {i: bytes(names[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+    return found | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+def read_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
 class Vocabulary:
     """Merges, token bytes and added tokens of a byte-level BPE file (``tokenizers`` JSON)."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        names = byte_names()
+        spec = read_spec(path)
         vocab = spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: bytes(names[c] for c in token) for token, i in vocab.items()}
-        self.bytes_of |= {i: token.encode() for token, i in self.added.items()}
+        self.bytes_of = token_bytes(spec)
         self.byte_ids = [0] * 256
         for i, token in self.bytes_of.items():
             if len(token) == 1 and i not in self.added.values():
@@ -302,7 +311,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") ->
     """Append the text of packed ids. Null counts as no ids; unknown ids stand for nothing."""
 
     def texts(column):
-        decode_one = ByteDecoder(transducer(path).vocabulary.bytes_of).decode
+        table = kept_in_worker(f"token bytes {path}", lambda: token_bytes(read_spec(path)))
+        decode_one = ByteDecoder(table).decode
         return [[decode_one(value or b"") for value in column.to_pylist()]]
 
     return append_columns(df, [ids], f"`{name}` string", texts)
