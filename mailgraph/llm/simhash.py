@@ -261,7 +261,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every component: the first with its smallest key; rows with a null key stay."""
+    """One document of every component: the one with the smallest key.
+
+    Rows that share that key are the same document and all stay, and so do rows without a key.
+    """
     found = near_duplicates(df, key, text)
     gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
     return df.join(settle(gone), key, "left_anti")
