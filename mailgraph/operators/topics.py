@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-
 from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +32,16 @@ def vocabulary(bow: DataFrame, min_docs: int = 1) -> DataFrame:
 
 
 def bow_vectors(bow: DataFrame, vocab: DataFrame, doc: str = "file_id") -> DataFrame:
-    """One sparse vector per document, at most as long as the vocabulary."""
-    size = vocab.count()
-
-    @F.udf(VectorUDT())
-    def sparse(cells):
-        return Vectors.sparse(size, [(c.term_id, float(c.value)) for c in cells])
+    """One sparse vector per document, at most as long as the vocabulary.
 
-    cells = F.sort_array(F.collect_list(F.struct("term_id", "value")))
-    rows = bow.join(vocab.select("word", "term_id"), "word").groupBy(doc).agg(cells.alias("cells"))
-    return rows.select(doc, sparse("cells").alias("features"))
+    The vocabulary goes through the driver, as the topic matrix of ``fit_lda`` does.
+    """
+    words = [row["word"] for row in vocab.orderBy("term_id").select("word").collect()]
+    repeated = F.array_repeat("word", F.col("value").cast("int"))
+    known = bow.join(vocab.select("word"), "word", "left_semi")
+    bags = known.groupBy(doc).agg(F.flatten(F.collect_list(repeated)).alias("bag"))
+    counter = CountVectorizerModel.from_vocabulary(words, inputCol="bag", outputCol="features")
+    return counter.transform(bags).select(doc, "features")
 
 
 def fit_lda(vectors: DataFrame, k: int, seed: int = 42, iterations: int = 20) -> LDAModel:
@@ -98,18 +96,12 @@ def best_k(scores: DataFrame) -> DataFrame:
     return scores.filter("coherence > 0").orderBy(F.desc("coherence"), "k").limit(1)
 
 
-def sweep(counts: Iterable[int], fit: Callable, score: Callable):
-    """Fit one model per topic count; returns (k, coherence) rows and the best model."""
-    rows, best = [], None
-    for k in counts:
-        model = fit(k)
-        value = score(model)
-        rows.append((k, value))
-        if value > (best[0] if best else 0.0):
-            best = (value, k, model)
-    if best is None:
+def choose(models: dict, scores: dict[int, float]):
+    """The topic count with the highest positive coherence, of equal ones the first, and its model."""
+    k = max(scores, key=scores.get, default=None)
+    if k is None or scores[k] <= 0:
         raise ValueError("no topic count has a coherence above 0")
-    return rows, best[1], best[2]
+    return k, models[k]
 
 
 def save_lda(model: LDAModel, vocab: DataFrame, path: str) -> None:
