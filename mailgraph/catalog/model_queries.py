@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from mailgraph.catalog import graph_queries as Q
@@ -11,6 +12,8 @@ from mailgraph.catalog import term_queries as R
 from mailgraph.catalog import text_queries as X
 from mailgraph.catalog import views as V
 from mailgraph.operators import coherence as C
+from mailgraph.operators import edge_attrs as E
+from mailgraph.operators import graph as G
 from mailgraph.operators import nmf as N
 from mailgraph.operators import topics as T
 from mailgraph.plans import dynamic_graph, topic_model
@@ -141,6 +144,130 @@ cosine AS (
 SELECT round(avg(score), 6) AS coherence FROM (SELECT topic, avg(c) AS score FROM cosine GROUP BY topic)"""
 
 
+EPS = N.EPS
+
+
+def _dot(left: str, right: str, k: int) -> str:
+    return " + ".join(f"{left.format(j=j)} * {right.format(j=j)}" for j in range(k))
+
+
+def _list(item: str, k: int, alias: str | None = None) -> str:
+    return ", ".join(item.format(j=j) + (f" AS {alias.format(j=j)}" if alias else "") for j in range(k))
+
+
+def _gram_sql(name: str, source: str, column: str, k: int) -> str:
+    cells = ", ".join(f"sum({column}{i} * {column}{j}) AS g{i}_{j}" for i in range(k) for j in range(k))
+    return f"{name} AS MATERIALIZED (SELECT {cells} FROM {source})"
+
+
+def _weights_sql(name: str, bag: str, terms: str, gram: str, k: int, steps: int) -> str:
+    """Document weights: a recursive table of one row per document and step."""
+    mixed = [" + ".join(f"w{i} * g{i}_{j}" for i in range(k)) for j in range(k)]
+    update = ", ".join(f"w{j} * p{j} / ({mixed[j]} + {EPS})" for j in range(k))
+    return f"""{name}_p AS MATERIALIZED (
+  SELECT file_id, {_list("sum(value * h{j})", k, "p{j}")} FROM {bag} JOIN {terms} USING (word) GROUP BY file_id),
+{name}_steps AS (
+  SELECT 0 AS step, file_id, {_list("p{j}", k)}, {_list(f"CAST(1.0 AS DOUBLE) / {k}", k, "w{j}")} FROM {name}_p
+  UNION ALL SELECT step + 1, file_id, {_list("p{j}", k)}, {update} FROM {name}_steps, {gram} WHERE step < {steps}),
+{name} AS MATERIALIZED (SELECT file_id, {_list("w{j}", k)} FROM {name}_steps WHERE step = {steps})"""
+
+
+def nmf_ctes(bag: str, k: int = K, passes: int = 5, steps: int = 30) -> str:
+    """The factorisation of a table file_id, word, value, pass by pass; the result is h_final."""
+    start = "CAST(CAST('0x' || substr(md5(concat('42|{j}|', word)), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0 + 0.5"
+    parts = [f"h_0 AS MATERIALIZED (SELECT word, {_list(start, k, 'h{j}')} FROM (SELECT DISTINCT word FROM {bag}))"]
+    for n in range(passes):
+        parts.append(_gram_sql(f"gh_{n}", f"h_{n}", "h", k))
+        parts.append(_weights_sql(f"w_{n}", bag, f"h_{n}", f"gh_{n}", k, steps))
+        parts.append(_gram_sql(f"gw_{n}", f"w_{n}", "w", k))
+        mixed = [" + ".join(f"h{i} * g{i}_{j}" for i in range(k)) for j in range(k)]
+        update = ", ".join(f"h{j} * n{j} / ({mixed[j]} + {EPS}) AS h{j}" for j in range(k))
+        name = "h_final" if n == passes - 1 else f"h_{n + 1}"
+        parts.append(f"""n_{n} AS MATERIALIZED (
+  SELECT word, {_list("sum(value * w{j})", k, "n{j}")} FROM {bag} JOIN w_{n} USING (file_id) GROUP BY word),
+{name} AS MATERIALIZED (SELECT word, {update} FROM h_{n} JOIN n_{n} USING (word), gw_{n})""")
+    return ",\n".join(parts)
+
+
+def nmf_prob_ctes(bag: str, k: int = K) -> str:
+    """Shares of at least 0.01 of the topics in the documents of a bag, as topic_prob."""
+    total = _list("w{j}", k).replace(", ", " + ")
+    return f"""{_gram_sql("g_final", "h_final", "h", k)},
+{_weights_sql("w_final", bag, "h_final", "g_final", k, 50)},
+shares AS (
+  SELECT file_id, unnest(range(0, {k})) AS topic, unnest([{_list("w{j} / total", k)}]) AS share
+  FROM (SELECT *, {total} AS total FROM w_final) WHERE total > 0),
+topic_prob AS (
+  SELECT file_id, CAST(topic AS INTEGER) AS topic, round(share, 4) AS prob FROM shares WHERE share >= 0.01)"""
+
+
+# A term table has each word of a document once, so its bags are binary.
+BODY_BAG = f"""{X.DOC_TOKENS},
+bag AS MATERIALIZED (SELECT DISTINCT file_id, unnest(words) AS word, CAST(1.0 AS DOUBLE) AS value FROM tok)"""
+BODY_NMF = f"{BODY_BAG},\n{nmf_ctes('bag')}"
+SUBJECT_BAG = """subject_bag AS (SELECT DISTINCT file_id, unnest(words) AS word, CAST(1.0 AS DOUBLE) AS value FROM stok)"""
+NMF_TOPICS = f"""WITH RECURSIVE {BODY_NMF},
+long AS (
+  SELECT word, unnest(range(0, {K})) AS topic, unnest([{_list("h{j} / (SELECT sum(h{j}) FROM h_final)", K)}]) AS prob
+  FROM h_final)
+SELECT CAST(topic AS INTEGER) AS topic, word, round(prob, 4) AS prob FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY prob DESC, word) AS r FROM long) WHERE r <= 15"""
+
+
+_SHARED = V.EDGES.replace("edges AS", "all_edges AS", 1) + """, edges AS (
+  SELECT DISTINCT * REPLACE (file_id % (SELECT count(*) FROM documents) AS file_id) FROM all_edges)"""
+
+
+def lda_shares(spark, sf_dir):
+    """What holds for every LDA model: each document with a word has one share of each topic, and
+    they sum to 1, here to two places."""
+    prob = lda_topic_prob(spark, sf_dir)
+    return prob.groupBy("file_id").agg(
+        F.count_distinct("topic").alias("topics"), F.round(F.sum("prob"), 2).alias("total")
+    )
+
+
+def lda_vectors(spark, sf_dir):
+    """The sparse vectors LDA reads, as cells."""
+    bow = settle(T.bag_of_words(R.terms.long_words(X.document_tokens(spark, sf_dir))))
+    vectors = T.bow_vectors(bow, settle(T.vocabulary(bow)))
+    cells = vectors.select("file_id", F.posexplode(vector_to_array("features")).alias("term_id", "value"))
+    return cells.filter("value > 0").select("file_id", F.col("term_id").cast("bigint"), "value")
+
+
+def connection_graph(spark, sf_dir):
+    """A model fitted over the mails of each connection, and the weighted graph it gives:
+    node ids, frequency, and squashed frequency after the topic weights. The weights are tested
+    by their sum."""
+    docs = settle(X.document_tokens(spark, sf_dir))
+    n = docs.count()
+    body_tf = R.terms.term_frequency(docs)
+    edges = settle(V.edges(spark, sf_dir).withColumn("file_id", F.col("file_id") % n))
+    found = settle(G.connections(edges))
+    bow = settle(T.bag_of_words(G.communication_words(found, edges, body_tf), "connection_id"))
+    prob = N.fit_nmf(bow, K, "connection_id").topic_prob(bow, "connection_id")
+    graph = G.with_node_ids(E.weighted_graph(found, prob, K), settle(G.accounts(edges)))
+    shares = F.aggregate(F.slice("attrs", 1, K), F.lit(0.0), lambda a, b: a + b)
+    return graph.select(
+        "sender_id", "recipient_id", "weight", F.size("attrs").alias("values"),
+        F.element_at("attrs", -1).alias("strength"), (shares > 0.9).alias("has_topics"),
+    )
+
+
+def sampled_graph(spark, sf_dir):
+    """The sampled-graph job with a fitted model; topics are tested by ``dynamic_graph_snapshots``."""
+    tf = body_words(spark, sf_dir)
+    model = N.fit_nmf(T.bag_of_words(tf), K)
+    n = V.table(spark, sf_dir, "documents").count()
+    edges = settle(V.edges(spark, sf_dir).distinct().withColumn("file_id", F.col("file_id") % n).distinct())
+    nodes = settle(G.accounts(edges))
+    pairs = settle(G.with_node_ids(G.monthly_edges(edges), nodes))
+    found = dynamic_graph.sampled_snapshots(pairs, nodes, edges, tf, model)
+    return found.select(
+        "snapshot", "sender_id", "recipient_id", F.slice("attrs", K + 1, 4).alias("counts")
+    )
+
+
 def best_model(spark, sf_dir):
     """Topic count chosen by coherence, and the dominant topics of the chosen model."""
     docs = settle(X.document_tokens(spark, sf_dir))
@@ -158,7 +285,7 @@ def dynamic_graph_snapshots(spark, sf_dir):
     path = f"{scratch_folder(spark)}/snapshots-{uuid.uuid4().hex}"
     dynamic_graph.build_snapshots(edges, tf, model, path)
     return spark.read.parquet(path).select(
-        F.col("snapshot").cast("bigint"), "sender_id", "recipient_id", F.size("attrs").alias("values")
+        F.col("snapshot").cast("bigint"), "sender_id", "recipient_id", "attrs"
     )
 
 
@@ -171,9 +298,55 @@ FROM (SELECT file_id, unnest(words) AS word FROM tok) GROUP BY file_id""",
     "lda_topics": (lda_topics, None),
     "lda_topic_prob": (lda_topic_prob, None),
     "lda_perplexity": (lda_perplexity, None),
-    "nmf_topics": (nmf_topics, None),
-    "nmf_topic_prob": (nmf_topic_prob, None),
-    "nmf_score": (nmf_score, None),
+    "nmf_topics": (nmf_topics, NMF_TOPICS),
+    "nmf_topic_prob": (
+        nmf_topic_prob, f"WITH RECURSIVE {BODY_NMF},\n{nmf_prob_ctes('bag')} SELECT * FROM topic_prob"
+    ),
+    "nmf_score": (
+        nmf_score,
+        f"""WITH RECURSIVE {BODY_NMF},
+{X.SUBJECT_TOKENS},
+{SUBJECT_BAG},
+{nmf_prob_ctes('subject_bag')} SELECT * FROM topic_prob""",
+    ),
+    "lda_shares": (
+        lda_shares,
+        f"""WITH {X.DOC_TOKENS}
+SELECT file_id, CAST({K} AS BIGINT) AS topics, CAST(1.0 AS DOUBLE) AS total FROM tok WHERE len(words) > 0""",
+    ),
+    "lda_vectors": (
+        lda_vectors,
+        f"""WITH {X.DOC_TOKENS}, words AS (SELECT file_id, unnest(words) AS word FROM tok),
+vocab AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS term_id FROM (SELECT DISTINCT word FROM words))
+SELECT file_id, term_id, CAST(count(*) AS DOUBLE) AS value FROM words JOIN vocab USING (word) GROUP BY file_id, term_id""",
+    ),
+    "connection_graph": (
+        connection_graph,
+        f"""WITH {V.EDGES}, {Q.ACCOUNTS}, {Q.CONNECTIONS}, {X.DOC_TOKENS},
+talk AS (SELECT DISTINCT sender, recipient FROM edges
+  JOIN tok ON tok.file_id = edges.file_id % (SELECT count(*) FROM documents) WHERE len(words) > 0)
+SELECT s.node_id AS sender_id, r.node_id AS recipient_id, frequency AS weight, {K + 1} AS "values",
+  round(1 / (1 + exp(-frequency)), 4) AS strength, talk.sender IS NOT NULL AS has_topics
+FROM connections c JOIN accounts s ON s.account = c.sender JOIN accounts r ON r.account = c.recipient
+LEFT JOIN talk ON talk.sender = c.sender AND talk.recipient = c.recipient""",
+    ),
+    "sampled_graph": (
+        sampled_graph,
+        f"""WITH {Q.SAMPLED_PAIRS.replace(V.EDGES, _SHARED, 1)}, {Q.ACCOUNTS},
+sampled AS (
+  SELECT * FROM (
+    SELECT *, count(*) OVER (PARTITION BY sender, recipient) AS n,
+      row_number() OVER (PARTITION BY sender, recipient
+        ORDER BY md5(concat('42|', sender, '|', recipient, '|', file_id, '|', rec_cat)), file_id, rec_cat) AS pos
+    FROM edges) WHERE pos <= (n * 75) // 100),
+counted AS (
+  SELECT sender, recipient, [CAST(max(n) AS DOUBLE), CAST(count(*) FILTER (rec_cat = 'TO') AS DOUBLE),
+    CAST(count(*) FILTER (rec_cat = 'CC') AS DOUBLE), CAST(count(*) FILTER (rec_cat = 'BCC') AS DOUBLE)] AS counts
+  FROM sampled GROUP BY sender, recipient)
+SELECT snapshot, s.node_id AS sender_id, r.node_id AS recipient_id, counts
+FROM sampled_pairs p JOIN counted USING (sender, recipient)
+JOIN accounts s ON s.account = p.sender JOIN accounts r ON r.account = p.recipient""",
+    ),
     "dominant_topic": (
         dominant_topic,
         f"""WITH {V.VECTORS} SELECT vec_id, topic, prob FROM (
@@ -204,8 +377,19 @@ GROUP BY label ORDER BY coherence DESC, k LIMIT 1""",
     "best_model": (best_model, None),
     "dynamic_graph_snapshots": (
         dynamic_graph_snapshots,
-        f"""WITH {Q.MONTHLY}, {Q.ACCOUNTS}
-SELECT snapshot, s.node_id AS sender_id, r.node_id AS recipient_id, 14 AS "values"
-FROM monthly JOIN accounts s ON s.account = sender JOIN accounts r ON r.account = recipient""",
+        f"""WITH RECURSIVE {Q.MONTHLY}, {Q.ACCOUNTS}, {BODY_NMF},
+{nmf_prob_ctes('bag')},
+wide AS (SELECT d.doc_id, {", ".join(
+    f"CAST(round(coalesce(max(prob) FILTER (topic = {j}), 0) * 10000) AS BIGINT) AS a{j}" for j in range(K)
+)} FROM documents d LEFT JOIN topic_prob t ON t.file_id = d.doc_id GROUP BY d.doc_id),
+months AS (
+  SELECT m.snapshot, s.node_id AS sender_id, r.node_id AS recipient_id, m.rec_cat, wide.*
+  FROM windowed m JOIN accounts s ON s.account = sender JOIN accounts r ON r.account = recipient
+  JOIN wide ON doc_id = file_id % (SELECT count(*) FROM documents))
+SELECT snapshot, sender_id, recipient_id, [{_list(
+    "CAST((2 * sum(a{j}) + count(*)) // (2 * count(*)) AS DOUBLE) / 10000.0", K
+)}, CAST(count(*) AS DOUBLE), CAST(count(*) FILTER (rec_cat = 'TO') AS DOUBLE),
+  CAST(count(*) FILTER (rec_cat = 'CC') AS DOUBLE), CAST(count(*) FILTER (rec_cat = 'BCC') AS DOUBLE)] AS attrs
+FROM months GROUP BY snapshot, sender_id, recipient_id""",
     ),
 }
