@@ -164,6 +164,71 @@ SELECT number AS file_id, from_mail AS sender, recipient, CAST(sent AS DOUBLE) A
 FROM clean JOIN numbered USING (file_id) WHERE file_id IN (SELECT file_id FROM kept)"""
 
 
+# Batch 1 decides first; then of batch 2 what no kept mail of batch 1 is near to.
+IN_BATCHES = LOADED_EDGES[: LOADED_EDGES.index("kept AS (")] + f"""kept_1 AS (
+  SELECT from_mail, min(file_id) AS file_id, min(sent) AS sent FROM usable
+  WHERE file_id // 50 % 2 = 0 GROUP BY from_mail
+  UNION ALL
+  SELECT k.from_mail, min(m.file_id), min(m.sent) FROM kept_1 k JOIN usable m
+    ON m.from_mail = k.from_mail AND m.sent > k.sent + 2 AND m.file_id // 50 % 2 = 0 GROUP BY ALL),
+late AS (
+  SELECT * FROM usable m WHERE file_id // 50 % 2 = 1 AND NOT EXISTS (
+    SELECT 1 FROM kept_1 k WHERE k.from_mail = m.from_mail AND abs(k.sent - m.sent) <= 2)),
+kept_2 AS (
+  SELECT from_mail, min(file_id) AS file_id, min(sent) AS sent FROM late GROUP BY from_mail
+  UNION ALL
+  SELECT k.from_mail, min(m.file_id), min(m.sent) FROM kept_2 k JOIN late m
+    ON m.from_mail = k.from_mail AND m.sent > k.sent + 2 GROUP BY ALL),
+numbered AS (SELECT file_id, row_number() OVER (ORDER BY file_id // 50 % 2, {LINK}) AS number FROM mails)
+SELECT number AS file_id, from_mail AS sender, recipient, CAST(sent AS DOUBLE) AS msg_time,
+  {CATEGORY.format(s='subject')} AS mail_cat, rec_cat
+FROM clean JOIN numbered USING (file_id)
+WHERE file_id IN (SELECT file_id FROM kept_1 UNION ALL SELECT file_id FROM kept_2)"""
+
+
+def loaded_in_batches(spark, sf_dir):
+    """Two increments of one archive; the second is checked against the stored edges."""
+    folder = f"{scratch_folder(spark)}/batches-{uuid.uuid4().hex}"
+    mails = V.raw_mails(spark, sf_dir)
+    for batch in range(2):
+        mail_etl.load_batch(mails.filter(f"file_id div 50 % 2 = {batch}").drop("file_id"), folder)
+    return mail_etl.stored_table(spark, folder, "edges")
+
+
+def logged_once(spark, sf_dir):
+    """Links of files that two loads of the same archive have refused, and how often."""
+    folder = f"{scratch_folder(spark)}/logged-{uuid.uuid4().hex}"
+    for _ in range(2):
+        mail_etl.load_batch(V.odd_mails(spark, sf_dir).select("path", "text"), folder)
+    rejected = mail_etl.stored_table(spark, folder, "reject_log").select(
+        H.escape_path(F.col("path")).alias("file_link"), "reject_reason"
+    )
+    unprocessed = mail_etl.stored_table(spark, folder, "unprocessed_log")
+    logged = rejected.unionByName(unprocessed.select("file_link", F.lit(None).cast("string").alias("reject_reason")))
+    return logged.groupBy("file_link", "reject_reason").agg(F.count("*").alias("entries"))
+
+
+def loaded_terms(spark, sf_dir):
+    """A load with stop words from a file; the term table of the mails it kept."""
+    folder = f"{scratch_folder(spark)}/terms-{uuid.uuid4().hex}"
+    spark.createDataFrame([(w,) for w in X.STOP_WORDS], "value string").write.text(f"{folder}/stop_words")
+    stops = S.stop_word_list(spark, f"{folder}/stop_words")
+    files = V.raw_mails(spark, sf_dir).select("path", "text")
+    mail_etl.load_batch(files, f"{folder}/tables", stop_words=stops)
+    return mail_etl.stored_table(spark, f"{folder}/tables", "body_tf").select("file_id", "word", "abs_tf")
+
+
+def scanned_folders(spark, sf_dir):
+    """Folders written as files, scanned again and chosen by name: characters in each."""
+    root = f"{scratch_folder(spark)}/scan-{uuid.uuid4().hex}"
+    files = V.folder_files(spark, sf_dir).select(
+        F.col("user_folder").alias("user"), F.col("folder").alias("box"), F.coalesce("text", F.lit("")).alias("value")
+    )
+    files.repartition("user", "box").write.partitionBy("user", "box").text(root)
+    found = S.select_folders(S.scan_mail_files(spark, root), ["box=sent"])
+    return found.groupBy("user_folder", "folder").agg(F.sum(F.length("text")).alias("chars"))
+
+
 def _exported(spark, sf_dir):
     return E.export_mails(V.export_source(spark, sf_dir))
 
@@ -224,6 +289,8 @@ _LAST = """last AS (SELECT user_folder, to_key, max(to_email) FILTER (from_last
   max(to_name) FILTER (from_last = 1) AS to_name, max(to_label) FILTER (from_last = 1) AS to_label
   FROM elements GROUP BY user_folder, to_key)"""
 
+_LEFT = f"""left_words AS (SELECT file_id, list_filter(words, lambda w: w NOT IN ({X._STOPS})) AS words FROM tok)"""
+
 QUERIES = {
     "recipient_fanout": (
         recipient_fanout, f"WITH {FANOUT} SELECT file_id, recipient, rec_cat FROM clean"
@@ -292,6 +359,27 @@ FROM conversations""",
     ),
     "loaded_edges": (loaded_edges, LOADED_EDGES),
     "ingest_stream": (ingest_stream, LOADED_EDGES),
+    "loaded_in_batches": (loaded_in_batches, IN_BATCHES),
+    "logged_once": (
+        logged_once,
+        f"""WITH {V.ODD_MAILS}, {X.clean_ctes('odd')}, {X.token_ctes('cleaned')},
+r AS (SELECT file_id, words, {V.ODD_REASON} AS reject_reason FROM tok JOIN odd USING (file_id))
+SELECT concat('odd//', file_id) AS file_link, reject_reason, CAST(1 AS BIGINT) AS entries
+FROM r WHERE reject_reason IS NOT NULL OR len(words) = 0""",
+    ),
+    "loaded_terms": (
+        loaded_terms,
+        f"""{LOADED_EDGES[: LOADED_EDGES.index("SELECT number AS file_id")].replace("usable AS", f"{_LEFT}, usable AS").replace("JOIN tok USING", "JOIN left_words USING")}
+SELECT number AS file_id, word, count(*) AS abs_tf
+FROM (SELECT file_id, unnest(words) AS word FROM left_words) JOIN numbered USING (file_id)
+WHERE file_id IN (SELECT file_id FROM kept) GROUP BY number, word""",
+    ),
+    "scanned_folders": (
+        scanned_folders,
+        """SELECT concat('user=user', conv_id) AS user_folder, 'box=sent' AS folder,
+  CAST(sum(octet_length(encode(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)))) + 1) AS BIGINT) AS chars
+FROM conversations WHERE role = 'user' GROUP BY conv_id""",
+    ),
     "sender_export_subjects": (
         sender_export_subjects,
         f"""WITH {V.EXPORT}, {_LAST}

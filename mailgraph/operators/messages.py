@@ -67,22 +67,18 @@ def with_tokens(messages: DataFrame, stop_words: list[str] | None = None) -> Dat
 def lemmatise(docs: DataFrame, lemmas: DataFrame, words: str = "tokens") -> DataFrame:
     """Replace each token by its dictionary lemma; ``lemmas`` has form and lemma, one per form.
 
-    ``docs`` is read twice and should be a stored table. The dictionary is broadcast by the
-    engine while it is small and joined by shuffle beyond that.
+    ``docs`` is read twice and should be a stored table with one row per file_id. Only the
+    distinct forms of a document that the dictionary holds are grouped; tokens stay in place.
     """
-    placed = docs.select("file_id", F.posexplode_outer(words).alias("_pos", "form"))
-    word = F.struct("_pos", F.coalesce("lemma", "form").alias("w"))
-    mapped = (
-        placed.filter("form is not null")
-        .join(lemmas.select("form", "lemma"), "form", "left")
+    forms = docs.select("file_id", F.explode(F.array_distinct(words)).alias("form"))
+    changes = (
+        forms.join(lemmas.select("form", "lemma"), "form")
         .groupBy("file_id")
-        .agg(F.sort_array(F.collect_list(word)).alias("_words"))
-    )
-    return (
-        docs.join(mapped, "file_id", "left")
-        .withColumn(words, F.coalesce(F.col("_words.w"), F.array().cast("array<string>")))
-        .drop("_words")
+        .agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("_lemmas"))
     )
+    tokens = F.coalesce(F.col(words), F.array().cast("array<string>"))
+    mapped = F.transform(tokens, lambda w: F.coalesce(F.element_at("_lemmas", w), w))
+    return docs.join(changes, "file_id", "left").withColumn(words, mapped).drop("_lemmas")
 
 
 def with_status(messages: DataFrame) -> DataFrame:

@@ -156,7 +156,12 @@ def load_batch(
     append_table(load.coalesce(1), f"{folder}/loads")
 
 
-def load_archive(spark: SparkSession, root: str, folder: str, **options) -> None:
+def load_archive(
+    spark: SparkSession, root: str, folder: str, stop_word_file: str | None = None, **options
+) -> None:
+    """Load the files below ``root``; stop words come as a list or from a file of one per line."""
+    if stop_word_file is not None:
+        options["stop_words"] = S.stop_word_list(spark, stop_word_file)
     load_batch(S.scan_mail_files(spark, root), folder, **options)
 
 

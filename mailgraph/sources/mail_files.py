@@ -109,3 +109,8 @@ def split_mail(files: DataFrame, text: str = "text") -> DataFrame:
 def load_stop_words(spark: SparkSession, path: str) -> DataFrame:
     """Stop words from a text file, one per line."""
     return spark.read.text(path).select(F.trim("value").alias("word")).distinct()
+
+
+def stop_word_list(spark: SparkSession, path: str) -> list[str]:
+    """The stop words of a file as the list that loads take: a language has a few hundred."""
+    return sorted(row["word"] for row in load_stop_words(spark, path).collect() if row["word"])
