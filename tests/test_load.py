@@ -223,3 +223,20 @@ def test_graph_statistics(spark):
     assert near == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")]
     ids = graph.with_node_ids(edges, graph.accounts(edges.filter("sender <> 'b'")))
     assert ids.filter("recipient_id is null").count() == 1
+
+
+def test_stop_words_from_a_file(spark, tmp_path):
+    from mailgraph.sources.mail_files import stop_word_list
+
+    (tmp_path / "stops.txt").write_text("ship\n the \n\nship\n")
+    assert stop_word_list(spark, str(tmp_path / "stops.txt")) == ["ship", "the"]
+
+
+def test_lemmas_keep_order_repeats_and_empty_documents(spark):
+    from mailgraph.operators.messages import lemmatise
+
+    rows = [(1, ["ships", "sail", "ships"]), (2, []), (3, None), (4, ["sail"])]
+    docs = spark.createDataFrame(rows, "file_id bigint, tokens array<string>")
+    lemmas = spark.createDataFrame([("ships", "ship")], "form string, lemma string")
+    found = {r["file_id"]: r["tokens"] for r in lemmatise(docs, lemmas).collect()}
+    assert found == {1: ["ship", "sail", "ship"], 2: [], 3: [], 4: ["sail"]}
