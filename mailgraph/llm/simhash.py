@@ -6,10 +6,16 @@ a BK-tree, and the fingerprints of the shard are searched in it, following only
 distance can hold a partner. A shard that is too large for one task is cut into parts, and each
 pair of parts is a tree and its queries. A task gives back only links that join what it has not
 joined yet, so a cluster of n fingerprints costs n links and not n * n.
+
+``near_duplicates`` links fingerprints of RADIUS bits. ``similar`` links texts of which four in
+five shingles or more are the same: they differ in far more than three of 64 bits, so it takes a
+fingerprint of 1,024 bits, a radius that belongs to that similarity, and shards of texts that share
+a band of smallest shingle hashes.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +31,11 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 FIELDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (lowest bit, bits)
 # Fingerprints of one tree, and of one block of queries, at most.
 PART_ROWS = 2048
+# Similar texts: words of a shingle, least share of common shingles, 64-bit words of a fingerprint.
+SIMILAR_SHINGLE, SIMILARITY, WIDE_WORDS = 5, 0.8, 16
+# A pair of that similarity shares one of the bands with a chance of 99.5 %, the more similar
+# the surer; its fingerprint lies within the radius unless it strays by over SPREAD deviations.
+BANDS, BAND_ROWS, SPREAD = 10, 4, 1.645
 
 
 def shingles(tokens: list[bytes], size: int = SHINGLE) -> list[bytes]:
@@ -61,8 +72,57 @@ def with_fingerprints(df: DataFrame, text: str = "text", name: str = "simhash")
     return append_columns(df, [text], f"`{name}` long", prints)
 
 
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The ``number``-th family of hashes made of 64-bit hashes."""
+    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (number + 1)) % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_radius(similarity: float = SIMILARITY, spread: float = SPREAD) -> int:
+    """Bits in which fingerprints of texts of this similarity differ, and ``spread`` deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * WIDE_WORDS
+    return int(bits * share + spread * math.sqrt(bits * share * (1 - share)))
+
+
+def sketch(text: bytes) -> tuple[bytes, list[int]]:
+    """Fingerprint of 64 * WIDE_WORDS bits of the set of shingles, and its bands of least hashes.
+
+    A text without words has fingerprint zero and bands zero.
+    """
+    parts = set(shingles(words(text.lower()), SIMILAR_SHINGLE))
+    if not parts:
+        return bytes(8 * WIDE_WORDS), [0] * BANDS
+    hashes = np.fromiter((xxhash.xxh64_intdigest(part, SEED) for part in parts), "<u8", len(parts))
+    ones = np.zeros(64 * WIDE_WORDS, np.int64)
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    factors = _mixed(np.arange(len(least), dtype=np.uint64), WIDE_WORDS) | np.uint64(1)
+    for start in range(0, len(hashes), 4096):
+        block = hashes[start : start + 4096]
+        mixed = np.stack([_mixed(block, n) for n in range(WIDE_WORDS)], axis=1)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        # Eight counters of a byte each are added at once; 255 rows cannot overflow them.
+        for row in range(0, len(bits), 255):
+            ones += np.add.reduce(bits[row : row + 255], axis=0).view(np.uint8)
+        for n, factor in enumerate(factors):
+            least[n] = min(least[n], (block * factor).min())
+    wide = np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+    bands = [
+        xxhash.xxh64_intdigest(least[n * BAND_ROWS : (n + 1) * BAND_ROWS].tobytes(), n)
+        for n in range(BANDS)
+    ]
+    return wide, np.array(bands, np.uint64).view(np.int64).tolist()
+
+
 def distances(values: np.ndarray, one) -> np.ndarray:
-    return np.bitwise_count(values ^ one)
+    apart = np.bitwise_count(values ^ one)
+    return apart if apart.ndim == 1 else apart.sum(axis=1, dtype=np.int64)
+
+
+def _number(value: np.ndarray) -> int:
+    return int.from_bytes(value.tobytes(), "little")
 
 
 class BKTree:
@@ -101,8 +161,11 @@ class BKTree:
                     pending.append((child, follow))
 
 
-def forest(tree_values: np.ndarray, query_values: np.ndarray, radius: int = RADIUS) -> list[tuple]:
-    """Links (a, b) that join all that lies within the radius, none that closes a circle."""
+def forest(tree: tuple, queries: tuple, radius: int) -> list[tuple]:
+    """Links (a, b) that join all that lies within the radius, none that closes a circle.
+
+    ``tree`` and ``queries`` are (names, fingerprints); a fingerprint is a number or a row of them.
+    """
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -112,19 +175,19 @@ def forest(tree_values: np.ndarray, query_values: np.ndarray, radius: int = RADI
         return x
 
     links = []
-    queries = query_values.tolist()
+    tree_names, query_names = tree[0].tolist(), queries[0].tolist()
 
     def found(node: int, near: np.ndarray) -> None:
-        one = int(tree_values[node])
+        one = tree_names[node]
         for place in near.tolist():
-            other = queries[place]
+            other = query_names[place]
             if other != one:
                 a, b = root(one), root(other)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
                     links.append((one, other))
 
-    BKTree(tree_values).search(query_values, radius, found)
+    BKTree(tree[1]).search(queries[1], radius, found)
     return links
 
 
@@ -148,15 +211,24 @@ def links(prints: DataFrame, name: str = "simhash") -> DataFrame:
     cut into parts by a hash, and each fingerprint goes to all pairs of parts with its own.
     """
     spread = prints.select(F.col(name).alias("a"), F.explode(_shard_keys(F.col(name))).alias("shard"))
+    return _links_in_shards(spread, RADIUS)
+
+
+def _links_in_shards(spread: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between the names ``a`` that share a ``shard`` within the radius.
+
+    The fingerprint is the name itself or, if there is one, the column ``wide``.
+    """
+    carried = [c for c in spread.columns if c != "shard"]
     sizes = spread.groupBy("shard").agg(F.count("*").alias("rows")).where("rows > 1")
     parts = settle(sizes.select("shard", F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("parts")))
     # The hash that deals out the parts must differ from the one that deals out the shards.
     own = F.pmod(F.xxhash64(F.col("a"), F.lit(7)), F.col("parts")).cast("int")
     placed = spread.join(parts, "shard").withColumn("own", own)
     pairs = placed.select(
-        "a", "shard", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+        *carried, "shard", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     ).select(
-        "a", "own",
+        *carried,
         # One number for a shard and a pair of its parts; two pairs that get the same number by
         # chance only share a task.
         F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("cell"),
@@ -181,25 +253,28 @@ def links(prints: DataFrame, name: str = "simhash") -> DataFrame:
     def found(table, cuts):
         if not len(table):
             return
-        value = table["a"].to_numpy().view(np.uint64)
+        name = table["a"].to_numpy()
+        value = name.view(np.uint64)
+        if "wide" in carried:
+            value = np.frombuffer(b"".join(table["wide"].to_pylist()), "<u8").reshape(len(name), -1)
         first = table["first"].to_numpy(zero_copy_only=False)
         second = table["second"].to_numpy(zero_copy_only=False)
         out: list[tuple] = []
         start = 0
         for end in cuts.tolist():
             if end - start > 1:
-                v, f, s = value[start:end], first[start:end], second[start:end]
+                at, v, f, s = (x[start:end] for x in (name, value, first, second))
                 if end - start == 2:
-                    if 0 < (int(v[0]) ^ int(v[1])).bit_count() <= RADIUS:
-                        out.append((int(v[0]), int(v[1])))
+                    if at[0] != at[1] and (_number(v[0]) ^ _number(v[1])).bit_count() <= radius:
+                        out.append((int(at[0]), int(at[1])))
                 else:
-                    out += forest(np.unique(v[f]), np.unique(v[s]))
+                    out += forest((at[f], v[f]), (at[s], v[s]), radius)
             start = end
         if out:
-            both = np.array(out, dtype=np.uint64).view(np.int64)
+            both = np.array(out, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return dealt.select("a", "cell", "first", "second").mapInArrow(search, "a long, b long")
+    return dealt.select(*carried, "cell", "first", "second").mapInArrow(search, "a long, b long")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -260,11 +335,43 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return prints.join(lookup, "simhash").select(F.col("_key").alias(key), "simhash", "component_id")
 
 
+def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ``component_id``) for every row with a key; the keys are whole numbers.
+
+    Rows are linked if the sets of their SIMILAR_SHINGLE-word shingles have a similarity of
+    SIMILARITY or more, as their fingerprints tell: equal sets always, a pair right at the limit
+    with a chance of about 95 %, a pair of 0.7 with one of about 4 %, clean pairs never. Everything
+    linked over any number of links is one component, named by its smallest key. Rows that share
+    a key are one document. Null texts have no words; all rows without words are alike. Rows
+    without a key are left out; an empty table gives an empty one. Other columns are not read.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")
+    )
+
+    def sketches(column):
+        made = [sketch(value) for value in texts_of(column)]
+        return [[wide for wide, _ in made], [bands for _, bands in made]]
+
+    prints = append_columns(rows, ["_text"], "wide binary, bands array<long>", sketches)
+    prints = settle(prints.select("_key", "wide", "bands"))
+    # Copies meet here, once for each task; what is left differs in its shingles.
+    distinct = settle(prints.groupBy("wide", "bands").agg(F.min("_key").alias("a")))
+    spread = distinct.select("a", "wide", F.explode("bands").alias("shard"))
+    roots = settle(components(_links_in_shards(spread, wide_radius())))
+    # Repeated keys can stand behind several fingerprints; their rows are one document.
+    alike = prints.join(distinct, ["wide", "bands"]).select("_key", "a").distinct()
+    placed = alike.join(roots, alike.a == roots.node, "left")
+    return placed.groupBy("_key").agg(F.min(F.coalesce("root", "a")).alias("component_id")).select(
+        F.col("_key").alias(key), "component_id"
+    )
+
+
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of every component: the one with the smallest key.
+    """One document of every group of similar ones: the one with the smallest key.
 
     Rows that share that key are the same document and all stay, and so do rows without a key.
     """
-    found = near_duplicates(df, key, text)
+    found = similar(df, key, text)
     gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
     return df.join(settle(gone), key, "left_anti")

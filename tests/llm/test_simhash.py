@@ -61,7 +61,7 @@ def test_fingerprint():
 
 def test_tree_finds_all_links(prints):
     values = np.array(prints, dtype=np.uint64)
-    assert joined(prints, simhash.forest(values, values)) == joined(prints, near_pairs(prints))
+    assert joined(prints, simhash.forest((values, values), (values, values), 3)) == joined(prints, near_pairs(prints))
     tree, pairs = simhash.BKTree(values), set()
     tree.search(values, 3, lambda node, near: pairs.update((prints[node], prints[p]) for p in near))
     assert {(a, b) for a, b in pairs if a > b} == set(near_pairs(prints))
@@ -103,6 +103,83 @@ def test_documents(spark):
         names |= {v: least for v in group}
     want = sorted(((i, plain(t), names[plain(t)]) for i, t in rows), key=str)
     assert sorted(((r["doc_id"], r["simhash"] & mask, r["component_id"]) for r in out), key=str) == want
-    kept = simhash.keep_first(df).collect()
-    assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == {c for _, _, c in want}
-    assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_first(df.limit(0)).count() == 0
+    assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def five(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def likeness_groups(texts, least):
+    """Groups of ids joined by a similarity of ``least`` or more, over all pairs."""
+    sets = {i: five(t) for i, t in texts.items()}
+    ids = sorted(sets)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[:n] if similarity(sets[a], sets[b]) >= least]
+    return joined(ids, links)
+
+
+def test_wide_bits():
+    text = " ".join(f"w{n % 700}" for n in range(900))
+    words = text.encode().split()
+    parts = {b" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+    hashes = np.array([xxhash.xxh64(p, seed=42).intdigest() for p in parts], np.uint64)
+    want = b""
+    for n in range(simhash.WIDE_WORDS):
+        mixed = simhash._mixed(hashes, n).tolist()
+        value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed))
+        want += value.to_bytes(8, "little")
+    assert simhash.sketch(text.encode())[0] == want
+
+
+def test_sketch():
+    rng = random.Random(3)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(4000)]
+    whole, bands = simhash.sketch(" ".join(words).encode())
+    assert (len(whole), len(set(bands))) == (128, 10)
+    # Order and number of equal shingles do not count, nor does the case of A to Z.
+    assert simhash.sketch(" ".join(words + words[:4] + words).upper().encode())[0] != whole
+    assert simhash.sketch("  ".join(words).upper().encode()) == (whole, bands)
+    assert simhash.sketch(b"a b a b a b a b a b a b") == simhash.sketch(b"a b a b a b a b")
+    assert simhash.sketch(b"") == simhash.sketch(b" \n") == (bytes(128), [0] * 10)
+    assert simhash.wide_radius(1.0) == 0 and 155 < simhash.wide_radius() < 180
+
+
+@pytest.mark.parametrize("part", [3, 2048])
+def test_similar(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART_ROWS", part)
+    rng = random.Random(6)
+    rows = []
+    for _ in range(25):
+        words = [f"w{rng.randint(0, 300)}" for _ in range(200)]
+        rows.append(" ".join(words))
+        for _ in range(rng.randint(0, 5)):
+            changed = list(words)
+            for _ in range(rng.randint(0, 2)):
+                changed[rng.randrange(200)] = "changed"
+            rows.append(" ".join(changed).upper())
+        # Shares half of its words in a row: not similar.
+        rows.append(" ".join(words[:100] + [f"x{rng.randint(0, 300)}" for _ in range(100)]))
+    rows.append(" ".join(f"v{n}" for n in range(60_000)))
+    texts = {n + 1: t for n, t in enumerate(rows)} | {0: None, 900: "", 901: " \n", 902: "short", 903: "Short"}
+    df = spark.createDataFrame([*texts.items(), (None, rows[0]), (5, texts[5])], "doc_id long, text string")
+    df = df.withColumn("component_id", F.lit("clash")).withColumn("wide", F.lit(1))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+    groups = likeness_groups(texts, 0.8)
+    assert found == {i: min(group) for group in groups for i in group}
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
+    assert sorted(set(ids)) == sorted(min(group) for group in groups)
+    assert kept.where("doc_id IS NULL").count() == 1
+    assert simhash.similar(df.limit(0)).count() == 0 and simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_repeated_key_is_one_document(spark):
+    a, b = (" ".join(f"{c}{n}" for n in range(50)) for c in "ab")
+    df = spark.createDataFrame([(3, a), (3, b), (7, a), (8, b)], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.similar(df).collect()} == {(3, 3), (7, 3), (8, 3)}
