@@ -27,7 +27,8 @@ BANDS = [
     (1024, 1.3, 3.1), (2048, 1.4, 3.3), (4096, 1.45, 3.6), (8192, 1.5, 4.0), (16384, 1.5, 4.5),
     (65536, 1.5, 5.5),
 ]
-# A text goes if more than this share of its chunks lies outside.
+# A text goes if chunks with more than this share of its bytes lie outside. A rest of a few bytes
+# can never compress into its band, so chunks are weighed, not counted.
 MAX_BAD_CHUNKS = 0.2
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -70,21 +71,21 @@ def limits(length: int) -> tuple[float, float]:
 
 
 def band_verdict(text: bytes, compressor) -> tuple[float, float, bool]:
-    """Ratio of the whole text, share of chunks outside their band, and whether it passes."""
+    """Ratio of the whole text, share of its bytes in chunks outside their band, and whether it passes."""
     if not text:
         return 0.0, 0.0, False
     ratio = len(text) / len(compressor.compress(text))
     low, high = limits(len(text))
-    bad, chunks = 0, 0
+    bad = 0
     if len(text) > CHUNK:
         view = memoryview(text)
         for start in range(0, len(text), CHUNK):
             chunk = view[start : start + CHUNK]
             chunk_low, chunk_high = limits(len(chunk))
             chunk_ratio = len(chunk) / len(compressor.compress(chunk))
-            chunks += 1
-            bad += not chunk_low <= chunk_ratio <= chunk_high
-    share = bad / chunks if chunks else 0.0
+            if not chunk_low <= chunk_ratio <= chunk_high:
+                bad += len(chunk)
+    share = bad / len(text)
     return ratio, share, low <= ratio <= high and share <= MAX_BAD_CHUNKS
 
 

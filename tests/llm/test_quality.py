@@ -63,6 +63,20 @@ def test_bands(spark):
     assert kept == set(good) | ({-3} & kept)
 
 
+def test_short_rest_does_not_drop_a_clean_text(spark):
+    sizes = [4095, 4096, 4097, 4100, 6143, 6144, 8192, 8194, 12_289, 16_385]
+    rows = [(n, prose(n, 4000)[: n - 1] + "e") for n in sizes]
+    noise = b64encode(random.Random(7).randbytes(3000)).decode()
+    # A rest of noise that is a third of the text still counts.
+    rows.append((-1, prose(2, 4000)[:8192] + noise))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in quality.assess(df).collect()}
+    assert all(len(text) == n for n, text in rows if n > 0)
+    assert {n for n in out if out[n]["kept"]} == set(sizes)
+    assert max(out[n]["bad_chunks"] for n in sizes) < 0.01
+    assert abs(out[-1]["bad_chunks"] - 4000 / 12_192) < 1e-9
+
+
 def test_clean_documents_stay(spark):
     """Prose that passes the base rules is not touched by the bands."""
     out = queries.op3_compression_bands(spark, "/root/testdata/sf0.01")
