@@ -9,8 +9,9 @@ joined yet, so a cluster of n fingerprints costs n links and not n * n.
 
 ``near_duplicates`` links fingerprints of RADIUS bits. ``similar`` links texts of which four in
 five shingles or more are the same: they differ in far more than three of 64 bits, so it takes a
-fingerprint of 1,024 bits, a radius that belongs to that similarity, and shards of texts that share
-a band of smallest shingle hashes.
+fingerprint of 1,024 bits, a wide radius around that similarity, and shards of texts that share a
+band of smallest shingle hashes. What these find are candidates: texts that candidates join meet
+again with their sets of shingles, and only pairs whose sets were compared become links.
 """
 
 from __future__ import annotations
@@ -31,11 +32,16 @@ SHINGLE, SEED, RADIUS = 3, 42, 3
 FIELDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (lowest bit, bits)
 # Fingerprints of one tree, and of one block of queries, at most.
 PART_ROWS = 2048
+# Bytes of shingle sets in a part, about.
+PART_BYTES = 64 * 2**20
 # Similar texts: words of a shingle, least share of common shingles, 64-bit words of a fingerprint.
 SIMILAR_SHINGLE, SIMILARITY, WIDE_WORDS = 5, 0.8, 16
 # A pair of that similarity shares one of the bands with a chance of 99.5 %, the more similar
 # the surer; its fingerprint lies within the radius unless it strays by over SPREAD deviations.
 BANDS, BAND_ROWS, SPREAD = 10, 4, 1.645
+# Candidates for the comparison of sets: a pair of that similarity shares one of so many bands but
+# for a chance of 0.003 %, and the radius leaves room for small sets, whose bits stray further.
+SEARCH_BANDS, SEARCH_SPREAD = 20, 8.0
 
 
 def shingles(tokens: list[bytes], size: int = SHINGLE) -> list[bytes]:
@@ -87,17 +93,36 @@ def wide_radius(similarity: float = SIMILARITY, spread: float = SPREAD) -> int:
     return int(bits * share + spread * math.sqrt(bits * share * (1 - share)))
 
 
-def sketch(text: bytes) -> tuple[bytes, list[int]]:
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the SIMILAR_SHINGLE-word shingles."""
+    parts = set(shingles(words(text.lower()), SIMILAR_SHINGLE))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(part, SEED) for part in parts), "<u8", len(parts))
+    return np.unique(hashes)
+
+
+def alike(a: bytes, b: bytes) -> bool:
+    """Whether two shingle sets, as bytes, have a similarity of SIMILARITY or more."""
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)) - 8:
+        return False
+    one, other = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    union = len(one) + len(other) - common
+    return not union or common / union >= SIMILARITY
+
+
+def sketch(text: bytes, count: int = BANDS) -> tuple[bytes, list[int]]:
     """Fingerprint of 64 * WIDE_WORDS bits of the set of shingles, and its bands of least hashes.
 
     A text without words has fingerprint zero and bands zero.
     """
-    parts = set(shingles(words(text.lower()), SIMILAR_SHINGLE))
-    if not parts:
-        return bytes(8 * WIDE_WORDS), [0] * BANDS
-    hashes = np.fromiter((xxhash.xxh64_intdigest(part, SEED) for part in parts), "<u8", len(parts))
+    return _sketch(shingle_set(text), count)
+
+
+def _sketch(hashes: np.ndarray, count: int) -> tuple[bytes, list[int]]:
+    if not len(hashes):
+        return bytes(8 * WIDE_WORDS), [0] * count
     ones = np.zeros(64 * WIDE_WORDS, np.int64)
-    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    least = np.full(count * BAND_ROWS, 2**64 - 1, np.uint64)
     factors = _mixed(np.arange(len(least), dtype=np.uint64), WIDE_WORDS) | np.uint64(1)
     for start in range(0, len(hashes), 4096):
         block = hashes[start : start + 4096]
@@ -111,7 +136,7 @@ def sketch(text: bytes) -> tuple[bytes, list[int]]:
     wide = np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
     bands = [
         xxhash.xxh64_intdigest(least[n * BAND_ROWS : (n + 1) * BAND_ROWS].tobytes(), n)
-        for n in range(BANDS)
+        for n in range(count)
     ]
     return wide, np.array(bands, np.uint64).view(np.int64).tolist()
 
@@ -161,10 +186,11 @@ class BKTree:
                     pending.append((child, follow))
 
 
-def forest(tree: tuple, queries: tuple, radius: int) -> list[tuple]:
+def forest(tree: tuple, queries: tuple, radius: int, sure=None) -> list[tuple]:
     """Links (a, b) that join all that lies within the radius, none that closes a circle.
 
     ``tree`` and ``queries`` are (names, fingerprints); a fingerprint is a number or a row of them.
+    With ``sure(place in the tree, place in the queries)`` only pairs for which it holds are linked.
     """
     parent: dict[int, int] = {}
 
@@ -183,7 +209,7 @@ def forest(tree: tuple, queries: tuple, radius: int) -> list[tuple]:
             other = query_names[place]
             if other != one:
                 a, b = root(one), root(other)
-                if a != b:
+                if a != b and (sure is None or sure(node, place)):
                     parent[max(a, b)] = min(a, b)
                     links.append((one, other))
 
@@ -217,11 +243,15 @@ def links(prints: DataFrame, name: str = "simhash") -> DataFrame:
 def _links_in_shards(spread: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) between the names ``a`` that share a ``shard`` within the radius.
 
-    The fingerprint is the name itself or, if there is one, the column ``wide``.
+    The fingerprint is the name itself or, if there is one, the column ``wide``. Where there is
+    a column ``hashes``, the shingle sets, a pair within the radius is linked only if they agree.
     """
     carried = [c for c in spread.columns if c != "shard"]
-    sizes = spread.groupBy("shard").agg(F.count("*").alias("rows")).where("rows > 1")
-    parts = settle(sizes.select("shard", F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("parts")))
+    exact = "hashes" in carried
+    size = F.sum(F.octet_length("hashes")) if exact else F.lit(0)
+    sizes = spread.groupBy("shard").agg(F.count("*").alias("rows"), size.alias("bytes")).where("rows > 1")
+    number = F.ceil(F.greatest(F.col("rows") / PART_ROWS, F.col("bytes") / PART_BYTES))
+    parts = settle(sizes.select("shard", number.cast("int").alias("parts")))
     # The hash that deals out the parts must differ from the one that deals out the shards.
     own = F.pmod(F.xxhash64(F.col("a"), F.lit(7)), F.col("parts")).cast("int")
     placed = spread.join(parts, "shard").withColumn("own", own)
@@ -259,16 +289,25 @@ def _links_in_shards(spread: DataFrame, radius: int) -> DataFrame:
             value = np.frombuffer(b"".join(table["wide"].to_pylist()), "<u8").reshape(len(name), -1)
         first = table["first"].to_numpy(zero_copy_only=False)
         second = table["second"].to_numpy(zero_copy_only=False)
+        sets = table["hashes"].to_pylist() if exact else None
         out: list[tuple] = []
         start = 0
         for end in cuts.tolist():
             if end - start > 1:
                 at, v, f, s = (x[start:end] for x in (name, value, first, second))
                 if end - start == 2:
-                    if at[0] != at[1] and (_number(v[0]) ^ _number(v[1])).bit_count() <= radius:
+                    near = at[0] != at[1] and (_number(v[0]) ^ _number(v[1])).bit_count() <= radius
+                    if near and (not exact or alike(sets[start], sets[start + 1])):
                         out.append((int(at[0]), int(at[1])))
                 else:
-                    out += forest((at[f], v[f]), (at[s], v[s]), radius)
+                    sure = None
+                    if exact:
+                        ours, theirs = np.flatnonzero(f) + start, np.flatnonzero(s) + start
+
+                        def sure(node, place, ours=ours, theirs=theirs):
+                            return alike(sets[ours[node]], sets[theirs[place]])
+
+                    out += forest((at[f], v[f]), (at[s], v[s]), radius, sure)
             start = end
         if out:
             both = np.array(out, dtype=np.int64)
@@ -339,29 +378,47 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """(key, ``component_id``) for every row with a key; the keys are whole numbers.
 
     Rows are linked if the sets of their SIMILAR_SHINGLE-word shingles have a similarity of
-    SIMILARITY or more, as their fingerprints tell: equal sets always, a pair right at the limit
-    with a chance of about 95 %, a pair of 0.7 with one of about 4 %, clean pairs never. Everything
-    linked over any number of links is one component, named by its smallest key. Rows that share
-    a key are one document. Null texts have no words; all rows without words are alike. Rows
-    without a key are left out; an empty table gives an empty one. Other columns are not read.
+    SIMILARITY or more. Fingerprints and bands find the candidates (a pair right at the limit is
+    missed with a chance of less than 0.01 %, unless other links join it); the sets of hashes of
+    64 bits decide. Everything linked over any number of links is one component, named by its
+    smallest key. Rows that share a key are one document. Null texts have no words; all rows
+    without words are alike. Rows without a key are left out; an empty table gives an empty one.
+    Other columns are not read.
     """
     rows = df.where(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")
     )
 
     def sketches(column):
-        made = [sketch(value) for value in texts_of(column)]
-        return [[wide for wide, _ in made], [bands for _, bands in made]]
+        sets = [shingle_set(value) for value in texts_of(column)]
+        made = [_sketch(hashes, SEARCH_BANDS) for hashes in sets]
+        digests = [xxhash.xxh3_128_digest(hashes.tobytes()) for hashes in sets]
+        return [digests, [wide for wide, _ in made], [bands for _, bands in made]]
+
+    def sets(column):
+        made = [shingle_set(value).tobytes() for value in texts_of(column)]
+        return [[xxhash.xxh3_128_digest(hashes) for hashes in made], made]
 
-    prints = append_columns(rows, ["_text"], "wide binary, bands array<long>", sketches)
-    prints = settle(prints.select("_key", "wide", "bands"))
+    prints = append_columns(rows, ["_text"], "digest binary, wide binary, bands array<long>", sketches)
+    prints = settle(prints.select("_key", "digest", "wide", "bands"))
     # Copies meet here, once for each task; what is left differs in its shingles.
-    distinct = settle(prints.groupBy("wide", "bands").agg(F.min("_key").alias("a")))
+    distinct = settle(prints.groupBy("digest", "wide", "bands").agg(F.min("_key").alias("a")))
+    radius = wide_radius(spread=SEARCH_SPREAD)
     spread = distinct.select("a", "wide", F.explode("bands").alias("shard"))
-    roots = settle(components(_links_in_shards(spread, wide_radius())))
-    # Repeated keys can stand behind several fingerprints; their rows are one document.
-    alike = prints.join(distinct, ["wide", "bands"]).select("_key", "a").distinct()
-    placed = alike.join(roots, alike.a == roots.node, "left")
+    near = settle(components(_links_in_shards(spread, radius)))
+    # What candidates join meets again with its set, and links are chosen among checked pairs.
+    asked = distinct.join(near, distinct.a == near.node).select(
+        F.col("a").alias("_key"), "digest", "wide", F.col("root").alias("shard")
+    )
+    again = append_columns(rows.join(asked, "_key"), ["_text"], "own binary, hashes binary", sets)
+    again = again.where("own = digest").select("_key", "digest", "wide", "shard", "hashes")
+    # Equal rows bring the same set again.
+    again = again.groupBy("_key", "digest").agg(*[F.first(c).alias(c) for c in ("wide", "shard", "hashes")])
+    checked = settle(again.select(F.col("_key").alias("a"), "wide", "shard", "hashes"))
+    roots = settle(components(_links_in_shards(checked, radius)))
+    # Repeated keys can stand behind several sets; their rows are one document.
+    same = prints.join(distinct.select("digest", "a"), "digest").select("_key", "a").distinct()
+    placed = same.join(roots, same.a == roots.node, "left")
     return placed.groupBy("_key").agg(F.min(F.coalesce("root", "a")).alias("component_id")).select(
         F.col("_key").alias(key), "component_id"
     )

@@ -179,6 +179,35 @@ def test_similar(spark, monkeypatch, part):
     assert simhash.similar(df.limit(0)).count() == 0 and simhash.keep_first(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", [7, 2048])
+def test_links_stand_on_counted_similarity(spark, monkeypatch, part):
+    """Pairs on both sides of the limit; a chain of candidates does not join what is not similar."""
+    monkeypatch.setattr(simhash, "PART_ROWS", part)
+    rng = random.Random(8)
+    texts, near, far = {}, 0, 0
+    for n in range(400):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(rng.choice([14, 30, 100, 300]))]
+        other = list(words)
+        # Words added at the end add one shingle each; 4 old in 5 of all is the limit.
+        size = len(words) - 4
+        other += [f"x{rng.randint(0, 10**9)}" for _ in range(size // 4 + n % 2)]
+        texts[2 * n], texts[2 * n + 1] = " ".join(words), " ".join(other)
+        likeness = similarity(five(texts[2 * n]), five(texts[2 * n + 1]))
+        near, far = near + (likeness >= 0.8), far + (0.7 < likeness < 0.8)
+    assert near >= 150 and far >= 150
+    # A bridge of 0.78 to each of two groups: both stay apart.
+    words = [f"v{n}" for n in range(204)]
+    texts |= {n: " ".join(words[k : k + 204 - k]) for n, k in ((5000, 0), (5001, 22), (5002, 44))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+    want = {2 * n + 1: 2 * n if similarity(five(texts[2 * n]), five(texts[2 * n + 1])) >= 0.8 else 2 * n + 1
+            for n in range(400)}
+    want |= {2 * n: 2 * n for n in range(400)}
+    ids = (5000, 5001, 5002)
+    want |= {i: min(g) for g in likeness_groups({i: texts[i] for i in ids}, 0.8) for i in g}
+    assert found == want
+
+
 def test_repeated_key_is_one_document(spark):
     a, b = (" ".join(f"{c}{n}" for n in range(50)) for c in "ab")
     df = spark.createDataFrame([(3, a), (3, b), (7, a), (8, b)], "doc_id long, text string")
