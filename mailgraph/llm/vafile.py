@@ -66,12 +66,13 @@ def best_of_block(
         # Product of a vector lies in bound + [fall, rise].
         rise, fall = np.maximum(asked, 0) @ reach, np.minimum(asked, 0) @ reach
         for q in range(len(asked)):
-            lower = bounds[q].copy()
-            lower[rows == own[start + q]] = -np.inf if kind is np.float64 else np.iinfo(kind).min
-            n = len(lower)
-            keep = min(k, n)
-            sure = np.partition(lower, n - keep)[n - keep] + fall[q]
-            possible = np.flatnonzero((lower + rise[q] >= sure) & (rows != own[start + q]))
+            lower = bounds[q]
+            possible = np.flatnonzero(rows != own[start + q])
+            # With k partners or fewer, all are among the best.
+            if len(possible) > k:
+                others = lower[possible]
+                sure = np.partition(others, len(others) - k)[len(others) - k] + fall[q]
+                possible = possible[others + rise[q] >= sure]
             order = possible[np.argsort(-lower[possible], kind="stable")]
             places, products = np.array([], np.int64), np.array([], kind)
             for at in range(0, len(order), STEP):

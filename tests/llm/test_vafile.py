@@ -63,3 +63,15 @@ def test_bounds_hold_every_product():
     low = approximation.lowest()
     assert (low <= exact).all() and (exact < low + approximation.step).all()
     assert approximation.cells.max() < 7
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 19, 20, 21, 60])
+def test_large_components_in_small_blocks(n):
+    rng = np.random.default_rng(n)
+    exact = rng.integers(-(2**29), 2**29, (n, 6))
+    rows = np.arange(n)
+    found = {q: (places.tolist(), products.tolist())
+             for q, places, products in vafile.best_of_block(exact, rows, exact, rows, rows, 20)}
+    for q in range(n):
+        want = sorted((-sum(int(x) * int(y) for x, y in zip(exact[q], exact[j])), j) for j in range(n) if j != q)[:20]
+        assert found[q] == ([j for _, j in want], [-s for s, _ in want])
