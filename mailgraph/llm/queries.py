@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from mailgraph.llm import (
     bpe,
+    centroids,
     chat,
+    embedding_dedup,
     langid,
     packing,
     quality,
+    resample,
     sharding,
     simhash,
     substring,
@@ -175,6 +178,105 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
 FROM d LEFT JOIN k ON d.r = k.r"""
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "benchmark")
+    return resample.resample(documents(spark, sf_dir), target)
+
+
+# CRC-32, bit by bit: a byte is followed by seven zeros, each step shifts once.
+OP11_SQL = r"""WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+own AS (SELECT r, unnest(w) AS word FROM d),
+wanted AS (SELECT unnest(w) AS word FROM b),
+vocab AS (
+  SELECT word, xor(list_reduce(CAST([4294967295] || flatten(list_transform(range(0, length(hex(word)) // 2),
+      lambda i: [CAST('0x' || hex(word)[2 * i + 1:2 * i + 2] AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS BIGINT[]),
+    lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM own UNION SELECT word FROM wanted)),
+s AS (SELECT bucket, count(*) AS s FROM own JOIN vocab USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM wanted JOIN vocab USING (word) GROUP BY bucket),
+gain AS (
+  SELECT v.bucket, floor(1000 * ln(
+    CAST((coalesce(t, 0) + 1) * ((SELECT count(*) FROM own) + 10000) AS DOUBLE)
+    / CAST((coalesce(s, 0) + 1) * ((SELECT count(*) FROM wanted) + 10000) AS DOUBLE))) AS g
+  FROM (SELECT DISTINCT bucket FROM vocab) v LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+mean AS (
+  SELECT r, floor(sum(g) / count(*)) AS weight FROM own JOIN vocab USING (word) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8)
+      AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN mean USING (r)),
+placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, r) AS rank
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM placed) // 100 THEN rank END AS rank
+FROM scored LEFT JOIN placed USING (r)"""
+
+
+def op12_laesa_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(ready(spark), sf_dir, "embeddings"))
+
+
+def _centroids_sql(rounds: int, k: int, dims: int) -> str:
+    """Rounds of all distances; ``floor`` of exact sums is a whole-number division."""
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+    list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS n
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), n) - 1 AS c, n FROM v
+  QUALIFY c < {k})""",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, c, distance FROM (
+    SELECT r, c, CAST(list_sum(list_transform(list_zip(v.n, m.n), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+    FROM v CROSS JOIN c{n} m)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, c) = 1)""")
+        if n < rounds:
+            parts.append(f"""s{n} AS MATERIALIZED (
+  SELECT c, i, sum(x) AS total, count(*) AS n FROM (
+    SELECT c, unnest(n) AS x, unnest(range(0, {dims})) AS i FROM a{n} JOIN v USING (r)) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (
+  SELECT m.c, coalesce(u.n, m.n) AS n FROM c{n} m LEFT JOIN (
+    SELECT c, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS n FROM s{n} GROUP BY c) u USING (c))""")
+    return ",\n".join(parts)
+
+
+OP12_SQL = f"""WITH {_centroids_sql(centroids.ROUNDS, centroids.CENTROIDS, centroids.DIMS)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, distance,
+  CAST(sum(distance) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.n, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} a JOIN v USING (r) JOIN c{centroids.ROUNDS} m ON m.c = a.c"""
+
+
+def op13_hyperplane_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(ready(spark), sf_dir, "embeddings"))
+
+
+# All pairs. A pair right at the threshold is found with a chance of 99.5 %, so the two can differ.
+OP13_SQL = """WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+u AS MATERIALIZED (
+  SELECT r, vec_id, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS x FROM v
+  WHERE len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.x) = len(b.x) AND list_dot_product(a.x, b.x) >= 0.9),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+named AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+counted AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v LEFT JOIN counted USING (r) JOIN named USING (r)"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -192,5 +294,8 @@ QUERIES = {
     "op8_bin_completion": (op8_bin_completion, None),
     "op9_compression_language": (op9_compression_language, None),
     "op10_prefix_suffix_trees": (op10_prefix_suffix_trees, OP10_SQL),
+    "op11_importance_resampling": (op11_importance_resampling, OP11_SQL),
+    "op12_laesa_centroids": (op12_laesa_centroids, OP12_SQL),
+    "op13_hyperplane_dedup": (op13_hyperplane_dedup, OP13_SQL),
     "pipeline": (pipeline, None),
 }

@@ -1,0 +1,107 @@
+"""Links, components and recall against all pairs."""
+
+import math
+
+import numpy as np
+import pytest
+
+from mailgraph.llm import embedding_dedup
+
+
+def brute(rows, threshold=0.9):
+    fine = [
+        n for n, (_, v) in enumerate(rows)
+        if v and all(x is not None and math.isfinite(x) for x in v) and any(x != 0 for x in v)
+    ]
+    links = {n: set() for n in range(len(rows))}
+    for a in fine:
+        for b in fine:
+            v, w = rows[a][1], rows[b][1]
+            if a != b and len(v) == len(w):
+                top = max(map(abs, v)), max(map(abs, w))
+                v, w = np.array(v) / top[0], np.array(w) / top[1]
+                if v @ w / math.sqrt(v @ v) / math.sqrt(w @ w) >= threshold:
+                    links[a].add(b)
+    out = []
+    for n, (name, _) in enumerate(rows):
+        seen, front = {n}, [n]
+        while front:
+            new = links[front.pop()] - seen
+            seen |= new
+            front += new
+        names = [rows[x][0] for x in seen if rows[x][0] is not None]
+        least = min(names, default=None)
+        out.append((name, len(links[n]), least, name == least))
+    return sorted(out, key=repr)
+
+
+def found(spark, rows, kind="double", **options):
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").selectExpr(
+        "*", "1 AS n_links", "2 AS class", "3 AS label"
+    )
+    out = embedding_dedup.near_duplicates(df.repartition(3), **options)
+    return sorted((tuple(r) for r in out.collect()), key=repr)
+
+
+def groups(seed, dims, sizes, noise):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for size in sizes:
+        top = rng.standard_normal(dims)
+        rows += [(top + noise * rng.standard_normal(dims)).astype("f4").tolist() for _ in range(size)]
+    order = rng.permutation(len(rows))
+    return [(n, rows[x]) for n, x in enumerate(order)]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("part", [8, 2048])
+def test_equals_all_pairs(spark, monkeypatch, kind, part):
+    monkeypatch.setattr(embedding_dedup, "PART_ROWS", part)
+    rows = groups(1, 16, [1] * 60 + [2] * 10 + [30, 9], 0.05)
+    rows += [(200 + n, rows[3][1]) for n in range(50)] + [(3, rows[3][1])]
+    rows += [(300, None), (301, []), (302, [0.0] * 16), (303, [0.0] * 16), (304, [math.nan] * 16), (305, [None] * 16),
+             (306, [math.inf] + [0.0] * 15), (307, [1.0, 0.0]), (308, [5.0, 0.01]), (309, [-0.0, 1.0]), (309, [1.0, 0.02]),
+             (None, rows[5][1]), (None, [9.0] * 3), (310, [1.0]), (311, [-1.0]), (312, [1e-30] * 16), (313, [1e30] * 16)]
+    assert found(spark, rows, kind, recall=0.999999) == brute(rows)
+
+
+def test_empty_table(spark):
+    assert found(spark, []) == []
+    assert found(spark, [(1, None)]) == [(1, 0, 1, True)]
+
+
+def test_recall_right_above_the_threshold():
+    """Pairs at a cosine of 0.9 to 0.91, the hardest ones, share a bucket as often as laid out."""
+    rng = np.random.default_rng(4)
+    signs, tables = embedding_dedup.layout(50_000)
+    one = rng.standard_normal((4000, 64))
+    one /= np.linalg.norm(one, axis=1)[:, None]
+    side = rng.standard_normal((4000, 64))
+    side -= (side * one).sum(axis=1)[:, None] * one
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = rng.uniform(0.9, 0.91, 4000)[:, None]
+    other = cosine * one + np.sqrt(1 - cosine**2) * side
+    met = embedding_dedup.buckets(one, signs, tables) == embedding_dedup.buckets(other, signs, tables)
+    assert met.any(axis=1).mean() > 0.99
+
+
+def test_layout_grows_with_the_logarithm():
+    assert embedding_dedup.layout(0)[0] == embedding_dedup.layout(500)[0] == embedding_dedup.LEAST_SIGNS
+    small, large = embedding_dedup.layout(10**5), embedding_dedup.layout(10**8)
+    assert large[0] - small[0] == 10 and small[1] < large[1] < 200
+
+
+def test_parts_of_a_bucket_count_each_link_once():
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal(8) + 0.1 * rng.standard_normal((40, 8))
+    codes = rng.integers(0, 3, (40, 4)).astype(np.int32)
+    copies = rng.integers(1, 5, 40)
+    want = embedding_dedup.linked(vectors, vectors) & ~np.eye(40, dtype=bool)
+    want &= ~(codes[:, None, :2] == codes[None, :, :2]).any(axis=2)
+    links = np.zeros(40, np.int64)
+    halves = np.arange(40) % 2 == 0
+    for first, second in ((halves, halves), (~halves, ~halves)):
+        at = np.flatnonzero(first)
+        links[at] += embedding_dedup.compare(2, vectors[at], codes[at], copies[at], first[at], second[at])[0]
+    links += embedding_dedup.compare(2, vectors, codes, copies, halves, ~halves)[0]
+    assert (links == want @ copies).all()
