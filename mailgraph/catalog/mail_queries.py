@@ -11,6 +11,7 @@ from mailgraph.catalog import views as V
 from mailgraph.functions import headers as H
 from mailgraph.operators import exports as E
 from mailgraph.operators import messages as M
+from mailgraph.operators import runs as R
 from mailgraph.operators.dedupe import dedupe_messages, mail_edges
 from mailgraph.operators.near import near_neighbours, nearest_within
 from mailgraph.plans import mail_etl
@@ -63,6 +64,12 @@ def near_duplicates(spark, sf_dir):
     )
 
 
+def near_duplicate_runs(spark, sf_dir):
+    """Runs of events of one user, each within the hour of the one before."""
+    edges = mail_edges(V.pair_events(spark, sf_dir))
+    return R.near_duplicate_runs(edges, "sender", "msg_time", EVENT_TOL, "file_id")
+
+
 def near_other_type(spark, sf_dir):
     """Per event the nearest error of the same user within the hour."""
     edges = mail_edges(V.pair_events(spark, sf_dir)).drop("recipient")
@@ -127,7 +134,9 @@ def file_numbers(spark, sf_dir):
 
 
 def merge_folders(spark, sf_dir):
-    return S.merge_folders(V.folder_files(spark, sf_dir)).select(
+    files = V.folder_files(spark, sf_dir)
+    files = files.withColumn("user_folder", F.nullif("user_folder", F.lit(V.NO_FOLDER)))
+    return S.merge_folders(files).select(
         "user_folder", "folder", "file_name", "merged_name", "text"
     )
 
@@ -317,6 +326,16 @@ FROM mails JOIN subjects USING (file_id)""",
 FROM ev a JOIN ev b ON a.sender = b.sender AND a.recipient = b.recipient AND a.file_id <> b.file_id
   AND abs(a.msg_time - b.msg_time) <= {EVENT_TOL}
 GROUP BY ALL""",
+    ),
+    "near_duplicate_runs": (
+        near_duplicate_runs,
+        f"""WITH {V.EVENTS},
+steps AS (
+  SELECT *, CASE WHEN msg_time - lag(msg_time) OVER (PARTITION BY sender ORDER BY msg_time, file_id) <= {EVENT_TOL}
+    THEN 0 ELSE 1 END AS start FROM ev),
+numbered AS (SELECT *, sum(start) OVER (ORDER BY sender, msg_time, file_id) AS run FROM steps)
+SELECT sender, CAST(run AS BIGINT) AS run, min(msg_time) AS first, max(msg_time) AS last, count(*) AS mails
+FROM numbered GROUP BY sender, run HAVING count(*) > 1""",
     ),
     "nearest_match": (
         near_other_type,
@@ -352,7 +371,7 @@ FROM mails) SELECT path, row_number() OVER (ORDER BY path) AS file_id FROM p""",
     ),
     "merge_folders": (
         merge_folders,
-        """SELECT concat('user', conv_id) AS user_folder, 'sent_items' AS folder, CAST(turn AS VARCHAR) AS file_name,
+        f"""SELECT nullif(concat('user', conv_id), '{V.NO_FOLDER}') AS user_folder, 'sent_items' AS folder, CAST(turn AS VARCHAR) AS file_name,
   CASE WHEN role = 'user' THEN CAST(19999 + row_number() OVER (PARTITION BY conv_id, role = 'user'
     ORDER BY CAST(turn AS VARCHAR)) AS VARCHAR) ELSE CAST(turn AS VARCHAR) END AS merged_name, text
 FROM conversations""",
@@ -383,16 +402,16 @@ FROM conversations WHERE role = 'user' GROUP BY conv_id""",
     "sender_export_subjects": (
         sender_export_subjects,
         f"""WITH {V.EXPORT}, {_LAST}
-SELECT user_folder, from_email, from_name, l.to_email, l.to_name, position,
+SELECT e.user_folder, from_email, from_name, l.to_email, l.to_name, position,
   concat(subject, ' (', date, ')') AS subject
-FROM elements JOIN last l USING (user_folder, to_key)""",
+FROM elements e JOIN last l ON l.user_folder IS NOT DISTINCT FROM e.user_folder AND l.to_key = e.to_key""",
     ),
     "sender_export_subjects_labelled": (
         sender_export_subjects_labelled,
         f"""WITH {V.EXPORT}, {_LAST}
-SELECT user_folder, from_label, l.to_email, l.to_name, l.to_label, position,
+SELECT e.user_folder, from_label, l.to_email, l.to_name, l.to_label, position,
   concat(subject, ' (', date, ')') AS subject
-FROM elements JOIN last l USING (user_folder, to_key)""",
+FROM elements e JOIN last l ON l.user_folder IS NOT DISTINCT FROM e.user_folder AND l.to_key = e.to_key""",
     ),
     "sender_export_subjects_jsonl": (
         sender_export_subjects_jsonl,
@@ -400,14 +419,14 @@ FROM elements JOIN last l USING (user_folder, to_key)""",
 SELECT DISTINCT user_folder, concat(from_email, '|', from_name) AS "from", NULL AS "to",
   CAST(NULL AS BIGINT) AS position, NULL AS subject FROM elements
 UNION ALL
-SELECT user_folder, NULL, concat(l.to_email, '|', l.to_name), position, concat(subject, ' (', date, ')')
-FROM elements JOIN last l USING (user_folder, to_key)""",
+SELECT e.user_folder, NULL, concat(l.to_email, '|', l.to_name), position, concat(subject, ' (', date, ')')
+FROM elements e JOIN last l ON l.user_folder IS NOT DISTINCT FROM e.user_folder AND l.to_key = e.to_key""",
     ),
     "exports_left": (
         exports_left,
-        """SELECT DISTINCT concat('user', conv_id) AS user_folder, 'first' AS run FROM conversations
+        f"""SELECT DISTINCT nullif(concat('user', conv_id), '{V.NO_FOLDER}') AS user_folder, 'first' AS run FROM conversations
 UNION ALL
-SELECT DISTINCT concat('user', conv_id), 'second' FROM conversations WHERE conv_id % 3 <> 0""",
+SELECT DISTINCT nullif(concat('user', conv_id), '{V.NO_FOLDER}'), 'second' FROM conversations WHERE conv_id % 3 <> 0""",
     ),
     "sender_export_latest_full": (
         sender_export_latest_full,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from mailgraph.catalog import graph_queries as Q
@@ -14,12 +13,16 @@ from mailgraph.catalog import views as V
 from mailgraph.operators import coherence as C
 from mailgraph.operators import edge_attrs as E
 from mailgraph.operators import graph as G
+from mailgraph.operators import lda as L
 from mailgraph.operators import nmf as N
+from mailgraph.operators import perplexity as P
 from mailgraph.operators import topics as T
 from mailgraph.plans import dynamic_graph, topic_model
 from mailgraph.session import scratch_folder, settle
 
 K = 10
+LDA_PASSES = 8
+PERPLEXITY_COUNTS = [2, 8]
 # Three made topics of five words each: the fifteen words in most documents, in this order.
 TOPIC_WORDS = 15
 WORDS_PER_TOPIC = 5
@@ -38,25 +41,41 @@ def bag_of_words(spark, sf_dir):
 
 def _lda(spark, sf_dir):
     bow = settle(T.bag_of_words(body_words(spark, sf_dir)))
-    vocab = settle(T.vocabulary(bow))
-    vectors = settle(T.bow_vectors(bow, vocab))
-    return T.fit_lda(vectors, K), vocab, vectors
+    return L.fit_lda(bow, K, passes=LDA_PASSES)
 
 
 def lda_topics(spark, sf_dir):
-    model, vocab, vectors = _lda(spark, sf_dir)
-    prob = settle(T.lda_topic_prob(model, vectors))
-    return T.leading_topic_terms(prob, T.lda_topic_terms(model, vocab))
+    model = _lda(spark, sf_dir)
+    return T.leading_topic_terms(settle(model.topic_prob()), model.topic_terms())
 
 
 def lda_topic_prob(spark, sf_dir):
-    model, _, vectors = _lda(spark, sf_dir)
-    return T.lda_topic_prob(model, vectors)
+    return _lda(spark, sf_dir).topic_prob()
+
+
+def _halves(spark, sf_dir):
+    parts = P.split(settle(T.bag_of_words(body_words(spark, sf_dir))))
+    return settle(parts.fitted), settle(parts.given), settle(parts.scored)
 
 
 def lda_perplexity(spark, sf_dir):
-    model, _, vectors = _lda(spark, sf_dir)
-    return spark.createDataFrame([(K, T.lda_perplexity(model, vectors))], "k int, perplexity double")
+    """Of the words of documents the model was not fitted on."""
+    fitted, given, scored = _halves(spark, sf_dir)
+    value, _ = P.held_out_perplexity(L.fit_lda(fitted, K, passes=LDA_PASSES), given, scored)
+    return spark.createDataFrame([(K, value)], "k int, perplexity double").select("k", F.round("perplexity", 6).alias("perplexity"))
+
+
+def perplexity_by_k(spark, sf_dir):
+    """Both kinds of models for several topic counts, on the same held-out words."""
+    fitted, given, scored = _halves(spark, sf_dir)
+    found = []
+    models = dict(zip(PERPLEXITY_COUNTS, N.fit_sweep(fitted, PERPLEXITY_COUNTS)))
+    for k in PERPLEXITY_COUNTS:
+        lda = L.fit_lda(fitted, k, passes=LDA_PASSES)
+        found.append(("lda", k, *P.held_out_perplexity(lda, given, scored)))
+        found.append(("nmf", k, *P.held_out_perplexity(models[k], given, scored)))
+    rows = spark.createDataFrame(found, "model string, k int, perplexity double, words double")
+    return rows.withColumn("perplexity", F.round("perplexity", 6))
 
 
 def nmf_topics(spark, sf_dir):
@@ -214,6 +233,89 @@ SELECT CAST(topic AS INTEGER) AS topic, word, round(prob, 4) AS prob FROM (
   SELECT *, row_number() OVER (PARTITION BY topic ORDER BY prob DESC, word) AS r FROM long) WHERE r <= 15"""
 
 
+def lda_ctes(bag: str, k: int, passes: int) -> str:
+    """The updates of a table file_id, word, value, pass by pass; counts are words_final, docs_final."""
+    alpha, beta = f"CAST({L.ALPHA_SUM / k!r} AS DOUBLE)", f"CAST({L.BETA!r} AS DOUBLE)"
+    topic = f"CAST('0x' || substr(md5(concat_ws('|', '42', file_id, word)), 1, 8) AS BIGINT) % {k}"
+    start = _list(f"CAST({topic} = {{j}} AS DOUBLE)", k, "g{j}")
+    parts = [
+        f"cells_0 AS MATERIALIZED (SELECT file_id, word, value, {start} FROM {bag})",
+        f"size AS MATERIALIZED (SELECT count(DISTINCT word) * {beta} AS floor FROM {bag})",
+    ]
+    for n in range(passes + 1):
+        end = "final" if n == passes else n
+        parts += [
+            f"words_{end} AS MATERIALIZED (SELECT word, {_list('sum(value * g{j})', k, 'n{j}')} FROM cells_{n} GROUP BY word)",
+            f"docs_{end} AS MATERIALIZED (SELECT file_id, {_list('sum(value * g{j})', k, 'd{j}')} FROM cells_{n} GROUP BY file_id)",
+            f"totals_{end} AS MATERIALIZED (SELECT {_list('sum(n{j})', k, 't{j}')} FROM words_{end})",
+        ]
+        if n < passes:
+            around = _list(f"(n{{j}} - g{{j}} + {beta}) * (d{{j}} - g{{j}} + {alpha}) / (t{{j}} + floor - g{{j}})", k, "x{j}")
+            total = _list("x{j}", k).replace(", ", " + ")
+            parts.append(f"""cells_{n + 1} AS MATERIALIZED (
+  SELECT file_id, word, value, {_list(f"x{{j}} / ({total})", k, "g{j}")} FROM (
+    SELECT file_id, word, value, {around}
+    FROM cells_{n} JOIN docs_{n} USING (file_id) JOIN words_{n} USING (word), totals_{n}, size))""")
+    parts.append(f"""phi AS MATERIALIZED (
+  SELECT word, {_list(f"(n{{j}} + {beta}) / (t{{j}} + floor)", k, "h{j}")} FROM words_final, totals_final, size)""")
+    return ",\n".join(parts)
+
+
+def lda_shares_ctes(docs: str, k: int) -> str:
+    """w0..: smoothed shares of the topics from the counts of documents."""
+    alpha = f"CAST({L.ALPHA_SUM / k!r} AS DOUBLE)"
+    total = _list(f"d{{j}} + {alpha}", k).replace(", ", " + ")
+    return f"theta AS MATERIALIZED (SELECT file_id, {_list(f'(d{{j}} + {alpha}) / ({total})', k, 'w{j}')} FROM {docs})"
+
+
+LDA_PROB = f"""{lda_shares_ctes("docs_final", K)},
+topic_prob AS (
+  SELECT file_id, CAST(unnest(range(0, {K})) AS INTEGER) AS topic, round(unnest([{_list("w{j}", K)}]), 4) AS prob FROM theta)"""
+
+
+_HASH = "CAST('0x' || substr(md5(concat_ws('|', '42', {0})), 1, 8) AS BIGINT)"
+HALVES = f"""held AS MATERIALIZED (SELECT DISTINCT file_id FROM bag WHERE {_HASH.format("file_id")} % {P.HELD_OUT_IN} = 0),
+fitted AS MATERIALIZED (SELECT * FROM bag WHERE file_id NOT IN (FROM held)),
+given AS MATERIALIZED (SELECT * FROM bag WHERE file_id IN (FROM held) AND {_HASH.format("file_id, word")} % 2 = 0),
+scored AS MATERIALIZED (SELECT * FROM bag WHERE file_id IN (FROM held) AND {_HASH.format("file_id, word")} % 2 <> 0)"""
+
+
+def lda_perplexity_sql(k: int, steps: int = 5) -> tuple[str, str]:
+    alpha = f"CAST({L.ALPHA_SUM / k!r} AS DOUBLE)"
+    parts = [
+        lda_ctes("fitted", k, LDA_PASSES),
+        "known AS MATERIALIZED (SELECT * FROM given JOIN phi USING (word))",
+        f"""counts_0 AS MATERIALIZED (
+  SELECT file_id, {_list(f"sum(value) / {k}", k, "d{j}")} FROM known GROUP BY file_id)""",
+    ]
+    for n in range(steps):
+        total = _list("x{j}", k).replace(", ", " + ")
+        parts.append(f"""counts_{n + 1} AS MATERIALIZED (
+  SELECT file_id, {_list(f"sum(value * (x{{j}} / ({total})))", k, "d{j}")} FROM (
+    SELECT file_id, value, {_list(f"h{{j}} * (d{{j}} + {alpha})", k, "x{j}")} FROM known JOIN counts_{n} USING (file_id))
+  GROUP BY file_id)""")
+    parts.append(lda_shares_ctes(f"counts_{steps}", k))
+    return f"""SELECT 'lda' AS model, CAST({k} AS INTEGER) AS k, round(exp(-sum(value * ln({_dot("w{j}", "h{j}", k)})) / sum(value)), 6) AS perplexity,
+  sum(value) AS words FROM scored JOIN phi USING (word) JOIN theta USING (file_id)""", ",\n".join(parts)
+
+
+def nmf_perplexity_sql(k: int) -> tuple[str, str]:
+    even = f"CAST({P.EVEN!r} AS DOUBLE)"
+    parts = f"""{nmf_ctes("fitted", k)},
+{_gram_sql("g_final", "h_final", "h", k)},
+{_weights_sql("w_final", "given", "h_final", "g_final", k, 50)},
+mass AS MATERIALIZED (SELECT count(*) AS n, {_list("sum(h{j})", k, "s{j}")} FROM h_final),
+weighed AS MATERIALIZED (SELECT * FROM (SELECT *, {_dot("w{j}", "s{j}", k)} AS m FROM w_final, mass) WHERE m > 0)"""
+    return f"""SELECT 'nmf' AS model, CAST({k} AS INTEGER) AS k, round(exp(-sum(value * ln((1 - {even}) * ({_dot("w{j}", "h{j}", k)}) / m + {even} / n)) / sum(value)), 6) AS perplexity,
+  sum(value) AS words FROM scored JOIN h_final USING (word) JOIN weighed USING (file_id)""", parts
+
+
+def perplexity_sql(models: list[tuple[str, str]]) -> str:
+    """One row a model; each has its own tables."""
+    rows = [f"SELECT * FROM (WITH RECURSIVE {ctes} {select})" for select, ctes in models]
+    return f"WITH RECURSIVE {BODY_BAG},\n{HALVES} " + "\nUNION ALL ".join(rows)
+
+
 _SHARED = V.EDGES.replace("edges AS", "all_edges AS", 1) + """, edges AS (
   SELECT DISTINCT * REPLACE (file_id % (SELECT count(*) FROM documents) AS file_id) FROM all_edges)"""
 
@@ -228,11 +330,9 @@ def lda_shares(spark, sf_dir):
 
 
 def lda_vectors(spark, sf_dir):
-    """The sparse vectors LDA reads, as cells."""
+    """Bags of all tokens with their words as term ids."""
     bow = settle(T.bag_of_words(R.terms.long_words(X.document_tokens(spark, sf_dir))))
-    vectors = T.bow_vectors(bow, settle(T.vocabulary(bow)))
-    cells = vectors.select("file_id", F.posexplode(vector_to_array("features")).alias("term_id", "value"))
-    return cells.filter("value > 0").select("file_id", F.col("term_id").cast("bigint"), "value")
+    return T.bow_cells(bow, settle(T.vocabulary(bow)))
 
 
 def connection_graph(spark, sf_dir):
@@ -295,9 +395,28 @@ QUERIES = {
         f"""WITH {X.DOC_TOKENS} SELECT file_id, count(DISTINCT word) AS words, count(*) AS tokens
 FROM (SELECT file_id, unnest(words) AS word FROM tok) GROUP BY file_id""",
     ),
-    "lda_topics": (lda_topics, None),
-    "lda_topic_prob": (lda_topic_prob, None),
-    "lda_perplexity": (lda_perplexity, None),
+    "lda_topics": (
+        lda_topics,
+        f"""WITH {BODY_BAG},
+{lda_ctes("bag", K, LDA_PASSES)},
+{LDA_PROB},
+leaders AS (SELECT DISTINCT topic FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY prob DESC, topic) AS r FROM topic_prob) WHERE r <= 2),
+long AS (SELECT word, CAST(unnest(range(0, {K})) AS INTEGER) AS topic, unnest([{_list("h{j}", K)}]) AS prob FROM phi)
+SELECT topic, word, round(prob, 4) AS prob FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY prob DESC, word) AS r FROM long)
+WHERE r <= 15 AND topic IN (FROM leaders)""",
+    ),
+    "lda_topic_prob": (
+        lda_topic_prob, f"WITH {BODY_BAG},\n{lda_ctes('bag', K, LDA_PASSES)},\n{LDA_PROB} SELECT * FROM topic_prob"
+    ),
+    "lda_perplexity": (
+        lda_perplexity, f"SELECT k, perplexity FROM ({perplexity_sql([lda_perplexity_sql(K)])})"
+    ),
+    "perplexity_by_k": (
+        perplexity_by_k,
+        perplexity_sql([f(k) for k in PERPLEXITY_COUNTS for f in (lda_perplexity_sql, nmf_perplexity_sql)]),
+    ),
     "nmf_topics": (nmf_topics, NMF_TOPICS),
     "nmf_topic_prob": (
         nmf_topic_prob, f"WITH RECURSIVE {BODY_NMF},\n{nmf_prob_ctes('bag')} SELECT * FROM topic_prob"

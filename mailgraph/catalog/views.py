@@ -124,6 +124,10 @@ ODD_REASON = """CASE file_id % 11 WHEN 3 THEN 'no subject' WHEN 5 THEN 'no x-to'
   ELSE CASE WHEN text = '' THEN 'empty body' END END"""
 
 
+# The user whose files lie directly below the root, so that they have no user folder.
+NO_FOLDER = "user5"
+
+
 def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as two sent folders per user: user turns in `sent`, others in `sent_items`."""
     return table(spark, sf_dir, "conversations").selectExpr(
@@ -135,9 +139,9 @@ def folder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as parsed mails of one export folder per conversation."""
+    """Conversations as parsed mails of one export folder per conversation; one has no folder."""
     return table(spark, sf_dir, "conversations").selectExpr(
-        "concat('user', conv_id) AS user_folder",
+        f"nullif(concat('user', conv_id), '{NO_FOLDER}') AS user_folder",
         "cast(turn AS string) AS file_name",
         "concat('conv', conv_id, '@example.org') AS from_header",
         "concat('Conv Nr', conv_id, ' <conv', conv_id, '@example.org>') AS x_from",
@@ -152,7 +156,7 @@ def export_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EXPORT = r"""src AS (
-  SELECT concat('user', conv_id) AS user_folder, turn, CAST(turn AS VARCHAR) AS file_name,
+  SELECT nullif(concat('user', conv_id), 'user5') AS user_folder, turn, CAST(turn AS VARCHAR) AS file_name,
          concat('conv', conv_id, '@example.org') AS from_email,
          concat('Conv Nr', conv_id, ' ') AS from_name,
          CASE WHEN turn % 4 = 3 THEN concat(role, '@example.net')

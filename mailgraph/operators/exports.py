@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mailgraph.functions import body as B
 from mailgraph.functions import headers as H
+from mailgraph.operators.joins import null_safe_join
 from mailgraph.operators.numbering import position_in_group
 from mailgraph.session import settle
 
@@ -99,7 +100,7 @@ def recipient_subjects(mails: DataFrame) -> DataFrame:
     """
     last = F.max_by(F.struct("to_email", "to_name"), F.struct(*FILE_ORDER)).alias("last")
     named = _usable(mails).groupBy(*RECIPIENT).agg(last).select(*RECIPIENT, "last.*")
-    return subject_lines(mails).join(settle(named), RECIPIENT).select(
+    return null_safe_join(subject_lines(mails), settle(named), RECIPIENT).select(
         *RECIPIENT,
         "to_email",
         "to_name",
@@ -158,6 +159,6 @@ def sender_export(mails: DataFrame, shape: str) -> DataFrame:
     sender = [F.col("from_email").alias("email"), F.col("from_name").alias("name")]
     if shape != "subjects":
         sender.append(F.col("from_label").alias("label"))
-    return rows.join(settle(heads), "user_folder").select(
+    return null_safe_join(rows, settle(heads), ["user_folder"]).select(
         "user_folder", F.struct(*sender).alias("from"), *fields
     )

@@ -13,6 +13,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailgraph.operators.joins import null_safe_join
 from mailgraph.session import settle
 
 # monotonically_increasing_id holds the partition above bit 33 and the row below it.
@@ -24,14 +25,19 @@ def _placed(df: DataFrame, order: list) -> DataFrame:
     return settle(ranged.withColumn("_at", F.monotonically_increasing_id()))
 
 
-def _partition() -> Column:
-    return F.shiftright("_at", _ROW_BITS)
+def partition_of(number: str) -> Column:
+    """The partition in which ``monotonically_increasing_id`` gave this number."""
+    return F.shiftright(number, _ROW_BITS)
+
+
+def row_in_partition(number: str) -> Column:
+    return F.col(number).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
 
 
 def dense_ids(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
     """Add consecutive numbers from ``start`` in the order of the ``order`` columns."""
     placed = _placed(df, order)
-    counts = placed.groupBy(_partition().alias("_part")).count().orderBy("_part").collect()
+    counts = placed.groupBy(partition_of("_at").alias("_part")).count().orderBy("_part").collect()
     # One row per partition, whatever the number of rows.
     before = accumulate((row["count"] for row in counts), initial=start)
     shifts = df.sparkSession.createDataFrame(
@@ -40,7 +46,7 @@ def dense_ids(df: DataFrame, order: list, name: str, start: int = 0) -> DataFram
     )
     row = F.col("_at") - F.shiftleft("_part", _ROW_BITS)
     return (
-        placed.withColumn("_part", _partition())
+        placed.withColumn("_part", partition_of("_at"))
         .join(F.broadcast(shifts), "_part")
         .withColumn(name, row + F.col("_shift"))
         .drop("_at", "_part", "_shift")
@@ -55,7 +61,7 @@ def position_in_group(
     A group that spans several partitions gets, per partition, the number of its rows in the
     partitions before; the join key (group, partition) never holds more than one partition.
     """
-    placed = _placed(df, [*group, *order]).withColumn("_part", _partition())
+    placed = _placed(df, [*group, *order]).withColumn("_part", partition_of("_at"))
     spans = placed.groupBy(*group, "_part").agg(
         F.min("_at").alias("_first"), F.count("*").alias("_rows")
     )
@@ -64,8 +70,9 @@ def position_in_group(
     spans = spans.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     if total:
         spans = spans.withColumn(total, F.sum("_rows").over(whole))
+    # Null is a group of its own.
     return (
-        placed.join(spans, [*group, "_part"])
+        null_safe_join(placed, spans, [*group, "_part"])
         .withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1)
         .drop("_at", "_part", "_first", "_rows", "_before")
     )

@@ -1,11 +1,8 @@
-"""Bags of words, LDA, topic tables and the choice of the number of topics."""
+"""Bags of words, topic tables and the choice of the number of topics."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, LDAModel, LocalLDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailgraph.operators.numbering import dense_ids
@@ -31,38 +28,10 @@ def vocabulary(bow: DataFrame, min_docs: int = 1) -> DataFrame:
     return dense_ids(counts, ["word"], "term_id")
 
 
-def bow_vectors(bow: DataFrame, vocab: DataFrame, doc: str = "file_id") -> DataFrame:
-    """One sparse vector per document, at most as long as the vocabulary.
-
-    The vocabulary goes through the driver, as the topic matrix of ``fit_lda`` does.
-    """
-    words = [row["word"] for row in vocab.orderBy("term_id").select("word").collect()]
-    repeated = F.array_repeat("word", F.col("value").cast("int"))
-    known = bow.join(vocab.select("word"), "word", "left_semi")
-    bags = known.groupBy(doc).agg(F.flatten(F.collect_list(repeated)).alias("bag"))
-    counter = CountVectorizerModel.from_vocabulary(words, inputCol="bag", outputCol="features")
-    return counter.transform(bags).select(doc, "features")
-
-
-def fit_lda(vectors: DataFrame, k: int, seed: int = 42, iterations: int = 20) -> LDAModel:
-    """The topic matrix, k numbers for each word, is held by the driver and sent to every task:
-    a million words and 44 topics take 350 MB there. ``fit_nmf`` has no such need."""
-    return LDA(k=k, seed=seed, maxIter=iterations, optimizer="online").fit(vectors)
-
-
-def lda_topic_prob(model: LDAModel, vectors: DataFrame, doc: str = "file_id") -> DataFrame:
-    shares = vector_to_array("topicDistribution")
-    return model.transform(vectors).select(
-        doc, F.posexplode_outer(shares).alias("topic", "prob")
-    ).select(doc, "topic", F.round("prob", 4).alias("prob"))
-
-
-def lda_topic_terms(model: LDAModel, vocab: DataFrame, n: int = TERMS_PER_TOPIC) -> DataFrame:
-    long = model.describeTopics(n).select(
-        "topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")
-    )
-    named = long.select("topic", F.col("t.termIndices").alias("term_id"), F.col("t.termWeights").alias("prob"))
-    return best_terms(named.join(vocab.select("term_id", "word"), "term_id").drop("term_id"), n)
+def bow_cells(bow: DataFrame, vocab: DataFrame, doc: str = "file_id") -> DataFrame:
+    """doc, term_id, value: the bags with their words as term ids; other words are left out."""
+    numbered = bow.join(vocab.select("word", "term_id"), "word")
+    return numbered.select(doc, "term_id", F.col("value").cast("double").alias("value"))
 
 
 def best_terms(long: DataFrame, n: int = TERMS_PER_TOPIC) -> DataFrame:
@@ -102,17 +71,3 @@ def choose(models: dict, scores: dict[int, float]):
     if k is None or scores[k] <= 0:
         raise ValueError("no topic count has a coherence above 0")
     return k, models[k]
-
-
-def save_lda(model: LDAModel, vocab: DataFrame, path: str) -> None:
-    """A model is only usable with the vocabulary it was fitted on, so both are stored."""
-    model.write().overwrite().save(f"{path}/model")
-    vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
-
-
-def load_lda(spark: SparkSession, path: str) -> tuple[LDAModel, DataFrame]:
-    return LocalLDAModel.load(f"{path}/model"), spark.read.parquet(f"{path}/vocabulary")
-
-
-def lda_perplexity(model: LDAModel, vectors: DataFrame) -> float:
-    return model.logPerplexity(vectors)

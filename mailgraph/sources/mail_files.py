@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailgraph.functions import fixed
 from mailgraph.functions import headers as H
+from mailgraph.operators.joins import null_safe_join
 from mailgraph.operators.numbering import position_in_group
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -63,7 +64,8 @@ def merge_folders(
         "file_name",
         (F.col("position") + (first_number - 1)).cast("string").alias("merged_name"),
     )
-    moved = move.join(names, ["user_folder", "file_name"])
+    # A path of two parts has no user; such files are one group.
+    moved = null_safe_join(move, names, ["user_folder", "file_name"])
     return stay.unionByName(moved).withColumn("folder", F.lit(target))
 
 

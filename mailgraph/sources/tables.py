@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailgraph.operators.joins import null_safe_join
 from mailgraph.session import settle
 
 
@@ -71,9 +72,13 @@ def write_exports(records: DataFrame, path: str, folders: int = 64) -> None:
 
 
 def unexported(records: DataFrame, path: str) -> DataFrame:
-    """Records of users that have no export below ``path`` yet; only the list of users is read."""
+    """Records of users that have no export below ``path`` yet; only the list of users is read.
+
+    Records without a user folder are those of one user."""
     done = stored(records.sparkSession, f"{path}/users")
-    return records if done is None else not_in(records, done, ["user_folder"])
+    if done is None:
+        return records
+    return null_safe_join(records, settle(done.select("user_folder").distinct()), ["user_folder"], "left_anti")
 
 
 def write_snapshots(edges: DataFrame, path: str) -> None:

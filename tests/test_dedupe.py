@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mailgraph.operators import dedupe
 from mailgraph.operators.dedupe import dedupe_messages
 from mailgraph.operators.near import near_neighbours, nearest_within
 from mailgraph.operators.numbering import dense_ids, position_in_group
+from mailgraph.operators.runs import gap_runs, near_duplicate_runs
 from mailgraph.operators.sampling import sample_in_group
 
 MAILS = "file_id bigint, from_mail string, recipients array<string>, msg_time double"
@@ -65,6 +67,72 @@ def test_one_long_run_of_mails(spark, rows_per_run):
     assert run(spark, mails, [], 2.0, rows_per_run) == greedy(mails, [], 2.0)
 
 
+@pytest.mark.parametrize("order", ["rising", "falling", "mixed"])
+def test_lines_of_mails_with_several_recipients(spark, order):
+    """Plain lines, lines that share a sender, and one line that another recipient set cuts into."""
+    rng = random.Random(order)
+    times = {("s", "ab"): 0.0, ("s", "c"): 0.5, ("t", "ab"): 0.0, ("t", "b"): 40.0}
+    rows = []
+    for (sender, ends), start in times.items():
+        at = start
+        for _ in range(70):
+            rows.append((sender, list(ends), at))
+            at += rng.choice([0.0, 0.75, 1.25, 2.0, 2.5])
+    rows.sort(key=lambda r: r[2], reverse=order == "falling")
+    if order == "mixed":
+        rng.shuffle(rows)
+    mails = [(n, *row) for n, row in enumerate(rows)]
+    assert run(spark, mails, [], 2.0) == greedy(mails, [], 2.0)
+
+
+def test_rounds_grow_with_the_logarithm_of_a_line(spark):
+    n = 30_000
+    edges = spark.range(n).select(
+        F.col("id").alias("file_id"), F.lit("s").alias("sender"), F.lit("r").alias("recipient"),
+        (F.col("id") * 1.5).alias("msg_time"),
+    )
+    lines, rest = dedupe._plain_lines(edges, 2.0)
+    assert rest.isEmpty()
+    nodes = lines.select("line", "at")
+    marked, rounds = dedupe.follow(dedupe._next_outside(nodes, 2.0), nodes.groupBy("line").agg(F.min("at").alias("at")))
+    # Every second mail is kept: 15,000 of them in one line.
+    assert marked.count() == n // 2 and rounds == 14
+
+
+def plain_runs(rows, tol):
+    out, run, before = {}, 0, None
+    for key, time, tie in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
+        same = before is not None and before[0] == key and time - before[1] <= tol
+        run += not same
+        out[tie] = (run, before[2] if same else None)
+        before = key, time, tie
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_gap_runs_over_partition_borders(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice(["hot", "hot", "a", "b", None]), float(rng.randint(0, 400)), n) for n in range(600)]
+    rows += [("lone", 1.0, 1000), ("hot", None, 1001)]
+    df = spark.createDataFrame(rows, "k string, t double, n bigint")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r["n"]: (r["run"], r["prior"]) for r in gap_runs(df, ["k"], "t", 2.0, "n").collect()}
+        whole = near_duplicate_runs(df, "k", "t", 2.0, "n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = plain_runs([r for r in rows if r[1] is not None], 2.0)
+    assert found == want
+    sizes = {}
+    for run, _ in want.values():
+        sizes[run] = sizes.get(run, 0) + 1
+    assert {r["run"]: r["mails"] for r in whole} == {run: n for run, n in sizes.items() if n > 1}
+    assert gap_runs(df.limit(0), ["k"], "t", 2.0, "n").count() == 0
+
+
 def test_small_cases(spark):
     mails = [(1, "s", ["r"], 0.0), (2, "s", ["r"], 1.5), (3, "s", ["r"], 3.0)]
     assert run(spark, mails, [], 2.0) == ([1, 3], {2: 0.0})
@@ -119,6 +187,9 @@ def test_positions_in_a_hot_group(spark):
     groups = {}
     for r in sorted(rows, key=lambda r: (r["g"], r["v"])):
         groups.setdefault(r["g"], []).append(r)
+    nulls = df.withColumn("g", F.nullif("g", F.lit("hot")))
+    lost = position_in_group(nulls, ["g"], ["v"], "pos", "size").filter("g is null").collect()
+    assert sorted(r["pos"] for r in lost) == list(range(1, 2001)) and {r["size"] for r in lost} == {2000}
     for members in groups.values():
         assert [r["pos"] for r in members] == list(range(1, len(members) + 1))
         assert {r["size"] for r in members} == {len(members)}
@@ -131,6 +202,8 @@ def test_sample_sizes_and_repeatability(spark):
     assert sorted(first.collect()) == sorted(again.collect())
     for row in first.groupBy("g", "group_size").count().collect():
         assert row["count"] == row["group_size"] * 75 // 100
+    nulls = sample_in_group(df.withColumn("g", F.nullif("g", F.lit("g3"))), ["g"], ["id"], 75)
+    assert nulls.filter("g is null").count() == 143 * 75 // 100
     single = sample_in_group(df.filter("id = 3"), ["g"], ["id"], 75)
     assert single.isEmpty()
     other = sample_in_group(df, ["g"], ["id"], 75, seed=7)
