@@ -3,16 +3,18 @@
 A document longer than a sequence is cut so that all pieces but the first are full; the first
 piece, and every shorter document, is an item of 1 to ``capacity`` tokens. How many items have
 which length is all that packing needs: ``capacity`` numbers, however many documents there are.
-Bin completion takes the largest length left, tries the undominated ways to fill up its bin,
-best fit first, uses each as often as the items allow, and cuts a branch whose waste already
-excludes fewer bins than the incumbent. The plan, a list of fillings with a number of bins each,
-is then dealt out to the items by their running number within their length.
+Best-fit decreasing gives the incumbent. Bin completion takes the largest length left, tries all
+undominated ways to fill up its bin, least waste first, and cuts a branch whose waste already
+excludes fewer bins than the incumbent; it ends where the incumbent meets the lower bound. The
+plan, a list of fillings with a number of bins each, is then dealt out to the items by their
+running number within their length.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,8 @@ from mailgraph.operators.numbering import position_in_group
 from mailgraph.session import settle
 
 CAPACITY, END = 2048, 0
-# Alternatives tried for a bin, and nodes of the search, at most; the first way down is best fit.
-WIDTH, NODES = 4, 8_000
+# Nodes of the search, at most: packing is NP-hard, and the incumbent is there from the start.
+NODES = 2_000
 _LONG = 2000
 _LONG_RUNS = [blank * 500 for blank in (" ", "\n", "\t", "\r", "\xa0", "\u3000")]
 
@@ -89,106 +91,199 @@ def pieces(
     )
 
 
-def fillings(rest: int, lengths: list[int], counts: dict[int, int], width: int) -> list[tuple]:
-    """Undominated ways to fill ``rest`` tokens, least waste first.
+def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple]:
+    """Best-fit decreasing over a histogram, [(bins, items), ...].
 
-    A filling is dominated if one of the same waste does with fewer, so larger, items; the
-    greedy filling (largest that fits, again and again) is always among the candidates.
-    ``lengths`` is ascending and holds the lengths of which ``counts`` has any left.
+    Items of one length fill the fullest bin that can take one until it can take no more, so all
+    bins of equal room and content are handled as one entry.
     """
+    # By room left: {items: bins}. A bin of no room takes part no more.
+    rooms: dict[int, dict[tuple, int]] = {}
+    for length in sorted(histogram, reverse=True):
+        left = histogram[length]
+        for room in sorted(r for r in rooms if r >= length):
+            each = room // length
+            for items, bins in list(rooms[room].items()):
+                if not left:
+                    break
+                for n, taken in ((each, min(bins, left // each)), (left % each, 1)):
+                    if n and taken and rooms[room].get(items, 0) >= taken and left >= n * taken:
+                        rooms[room][items] -= taken
+                        if not rooms[room][items]:
+                            del rooms[room][items]
+                        grown = rooms.setdefault(room - n * length, {})
+                        key = items + (length,) * n
+                        grown[key] = grown.get(key, 0) + taken
+                        left -= n * taken
+            if not rooms[room]:
+                del rooms[room]
+            if not left:
+                break
+        each = capacity // length
+        for n, bins in ((each, left // each), (left % each, 1)):
+            if n and bins and left >= n * bins:
+                opened = rooms.setdefault(capacity - n * length, {})
+                key = (length,) * n
+                opened[key] = opened.get(key, 0) + bins
+                left -= n * bins
+    return [(bins, items) for room in sorted(rooms) for items, bins in rooms[room].items()]
+
+
+def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
+    """Bins that any packing needs: for each limit, items over half a bin stand alone, those that
+    leave less than the limit are full, and the others of at least the limit share what is left."""
+    lengths = sorted(histogram)
+    number, tokens = [0], [0]
+    for one in lengths:
+        number.append(number[-1] + histogram[one])
+        tokens.append(tokens[-1] + one * histogram[one])
+    half = bisect_right(lengths, capacity // 2)
+    best = -(-tokens[-1] // capacity)
+    for limit in [1, *(one for one in lengths if 2 * one <= capacity)]:
+        full = bisect_right(lengths, capacity - limit)
+        small = bisect_left(lengths, limit)
+        alone, large = number[-1] - number[full], number[full] - number[half]
+        room = large * capacity - (tokens[full] - tokens[half])
+        rest = max(0, tokens[half] - tokens[small] - room)
+        best = max(best, alone + large + -(-rest // capacity))
+    return best
+
+
+def _spread(bits: int, width: int) -> int:
+    """Bits at 0 to ``width`` places above each set bit."""
+    done = 1
+    while done <= width:
+        step = min(done, width + 1 - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def fillings(rest: int, counts: dict[int, int], most_waste: int) -> Iterator[tuple]:
+    """Every undominated way to fill ``rest`` tokens with at most ``most_waste`` to spare.
+
+    Least waste first; of equal waste those with the larger items first. A filling is dominated
+    if another item still fits, or if some of its items (one, or several together) can be replaced
+    by an item left that is at least as large and fits: whatever the filling leads to, the other
+    does with no more bins. Sums that the items can make are bits of whole numbers, so no choice that
+    misses the wanted sum is followed.
+    """
+    lengths = sorted(one for one in counts if one <= rest)
+    mask = (1 << (rest + 1)) - 1
+    reach = [1]  # sums of the first n lengths, as often as there are items of them
+    for one in lengths:
+        bits, copies = reach[-1], min(counts[one], rest // one)
+        step = 1
+        while copies:
+            step = min(step, copies)
+            bits |= (bits << (step * one)) & mask
+            copies -= step
+            step *= 2
+        reach.append(bits)
+    free = sum(1 << one for one in lengths)
+
+    def without(chosen: tuple) -> int:
+        """Lengths of which an item is left besides those chosen."""
+        out = free
+        for one in set(chosen):
+            if chosen.count(one) >= counts[one]:
+                out &= ~(1 << one)
+        return out
 
-    def largest(room: int) -> int:
-        at = bisect_right(lengths, room)
-        return lengths[at - 1] if at else 0
-
-    def greedy(room: int, taken: dict[int, int]) -> tuple:
-        out: list[int] = []
-        limit = room
-        while room and (one := largest(min(room, limit))):
-            have = counts[one] - taken.get(one, 0)
-            times = min(have, room // one)
-            out += [one] * times
-            room -= times * one
-            limit = one - 1
-        return tuple(out)
-
-    if not largest(rest):
-        return [()]
-    best: dict[int, tuple] = {}
-    top = bisect_right(lengths, rest)
-    # Each first item with the best second one, then greedily on; the largest first items first.
-    for first in reversed(lengths[max(0, top - 256) : top]):
-        room = rest - first
-        tail = greedy(room, {first: 1}) if room else ()
-        found = (first, *tail)
-        waste = rest - sum(found)
-        if waste not in best or len(found) < len(best[waste]):
-            best[waste] = found
-        if waste == 0 and len(best) >= width:
-            break
-    # A filling is dominated, too, by one that wastes less with no more items.
-    out: list[tuple] = []
-    for waste in sorted(best):
-        if all(len(best[waste]) < len(other) for other in out):
-            out.append(best[waste])
-    return out[:width]
+    def replaceable(chosen: tuple, waste: int) -> bool:
+        single, several = 0, 0  # sums of one and of more chosen items
+        for one in chosen:
+            several |= (several << one) | (single << one)
+            single |= 1 << one
+        left = without(chosen)
+        # A larger item in place of one or none, or one at least as large in place of several.
+        larger = _spread(single << 1 | 2, waste - 1) if waste else 0
+        return bool((larger | _spread(several, waste)) & left)
+
+    def exact(total: int, top: int, chosen: tuple) -> Iterator[tuple]:
+        if not total:
+            yield chosen
+            return
+        for at in range(min(top, bisect_right(lengths, total)), 0, -1):
+            one = lengths[at - 1]
+            for copies in range(min(counts[one], total // one), 0, -1):
+                after = total - copies * one
+                if reach[at - 1] >> after & 1:
+                    grown = chosen + (one,) * copies
+                    # What is dominated without any waste stays so whatever is added.
+                    if not replaceable(grown, 0):
+                        yield from exact(after, at - 1, grown)
+
+    for waste in range(min(rest, most_waste) + 1):
+        if reach[-1] >> (rest - waste) & 1:
+            for found in exact(rest - waste, len(lengths), ()):
+                if not waste or not replaceable(found, waste):
+                    yield found
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple]:
-    """Fillings and their numbers of bins, [(bins, (length, ...)), ...], for all items."""
+    """Fillings and their numbers of bins, [(bins, (length, ...)), ...], for all items.
+
+    Best-fit decreasing is the first incumbent, so the plan is never worse. A branch completes the
+    bin of the largest item left with each undominated filling, as often as the items allow or
+    once, and ends where its waste leaves no room for fewer bins than the incumbent's.
+    """
+    return search(histogram, capacity, nodes)[0]
+
+
+def search(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple], int]:
+    """The plan, and the nodes it took."""
+    incumbent = best_fit(histogram, capacity)
+    best = sum(bins for bins, _ in incumbent)
     total = sum(length * n for length, n in histogram.items())
-    lower = -(-total // capacity)
-    incumbent: list[tuple] | None = None
-    incumbent_bins = float("inf")
+    lower = lower_bound(histogram, capacity)
     spent = 0
-    # Depth first: a frame holds what is left, the bins used, and the choices not tried yet.
-    stack = [(dict(histogram), 0, 0, None, None)]
-    while stack:
-        counts, bins, waste, chosen, before = stack.pop()
-        path = (chosen, before) if chosen else before
-        while True:
-            lengths = sorted(counts)
-            if not lengths:
-                if bins < incumbent_bins:
-                    incumbent_bins, incumbent = bins, path
-                break
-            if incumbent is not None and (
-                spent >= nodes or waste > (incumbent_bins - 1) * capacity - total
-            ):
-                break  # no branch from here on has fewer bins
-            spent += 1
-            largest = lengths[-1]
-            counts[largest] -= 1
-            if not counts[largest]:
-                lengths.pop()
-            options = fillings(capacity - largest, lengths, counts, WIDTH)
-            counts[largest] += 1
-            made = []
-            for option in options:
-                items = (largest, *option)
-                uses = {one: items.count(one) for one in set(items)}
-                times = min(counts[one] // n for one, n in uses.items())
+
+    def children(counts: dict[int, int], waste: int) -> Iterator[tuple]:
+        largest = max(counts)
+        others = dict(counts)
+        others[largest] -= 1
+        if not others[largest]:
+            del others[largest]
+        allowed = (best - 1) * capacity - total - waste
+        for filling in fillings(capacity - largest, others, allowed):
+            items = (largest, *filling)
+            uses = Counter(items)
+            lost = capacity - sum(items)
+            most = min(counts[one] // n for one, n in uses.items())
+            if lost:
+                most = min(most, max(1, ((best - 1) * capacity - total - waste) // lost))
+            for times in dict.fromkeys((most, 1)):
+                if waste + times * lost > (best - 1) * capacity - total:
+                    continue
                 after = dict(counts)
                 for one, n in uses.items():
                     after[one] -= n * times
                     if not after[one]:
                         del after[one]
-                lost = times * (capacity - sum(items))
-                made.append((after, bins + times, waste + lost, (times, items), path))
-            # Later alternatives wait; the stack holds no more than NODES of them.
-            if incumbent is None and len(stack) < 64:
-                stack += reversed(made[1:])
-            elif incumbent is not None:
-                stack += reversed(made[1:])
-            counts, bins, waste, chosen, before = made[0]
-            path = (chosen, before)
-        if incumbent_bins <= lower or spent >= nodes:
-            break
-    out = []
-    while incumbent:
-        step, incumbent = incumbent
-        out.append(step)
-    return out[::-1]
+                yield after, waste + times * lost, (times, items)
+
+    # A frame: its children not tried yet, and the steps down to it, as a linked list.
+    stack = [(children(dict(histogram), 0), 0, None)] if histogram and best > lower else []
+    while stack and best > lower and spent < nodes:
+        untried, bins, path = stack[-1]
+        child = next(untried, None)
+        if child is None:
+            stack.pop()
+            continue
+        spent += 1
+        counts, waste, step = child
+        bins += step[0]
+        if counts:
+            # Bins still needed at the least: what is left, and the waste of the rest.
+            if bins + lower_bound(counts, capacity) < best:
+                stack.append((children(counts, waste), bins, (step, path)))
+        elif bins < best:
+            best, path, incumbent = bins, (step, path), []
+            while path:
+                step, path = path
+                incumbent.append(step)
+    return incumbent, spent
 
 
 def slots(steps: list[tuple]) -> dict[int, tuple[np.ndarray, ...]]:
