@@ -8,8 +8,8 @@ the dictionary, and encoded with every dictionary.
 from __future__ import annotations
 
 import math
-import re
 
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ NARROW = 0.01
 SCALE = 3.0
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def fold(text: str) -> str:
@@ -41,30 +41,34 @@ def held_out(doc_id: Column) -> Column:
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict:
     """Dictionaries by language from at most SAMPLE_ROWS texts each, chosen by a hash.
 
-    Only ids reach the driver, then the texts of these ids: both bounded by the parameters above.
-    Rows without language or text are not learned from.
+    Of rows that share language and id one is learned from: the one of ordinary size with the
+    least digest, else of any size. So at most one text, cut to DICTIONARY_BYTES, for each place
+    reaches the driver: all bounded by the parameters above, whatever the rows. Rows without
+    language or text are not learned from; a null id is an id like others. An empty table gives no
+    dictionary.
     """
     length = F.octet_length(F.col(text))
     rows = df.where(F.col(lang).isNotNull() & (length > 0)).select(
-        F.col(key).alias("id"), F.col(lang).alias("lang"), (~length.between(*SAMPLE_BYTES)).alias("odd")
-    )
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"), F.col(lang).alias("lang"),
+        F.col(text).alias("text"), (~length.between(*SAMPLE_BYTES)).alias("odd"),
+    )
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     counts = {row["lang"]: row["count"] for row in common.collect()}
-    order = Window.partitionBy("lang").orderBy("odd", F.xxhash64("id"), "id")
+    digest = F.md5(F.col("text").cast("binary"))
+    one = rows.groupBy("lang", "id").agg(F.min(F.struct("odd", digest.alias("digest"))).alias("one"))
+    order = Window.partitionBy("lang").orderBy("one.odd", F.xxhash64("id"), "id")
     chosen = (
-        rows.where(F.col("lang").isin(list(counts)))
+        one.where(F.col("lang").isin(list(counts)))
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= SAMPLE_ROWS)
-        .collect()
+        .select("lang", "id", F.col("one.digest").alias("digest"), "place")
     )
-    places = {(row["lang"], row["id"]): row["place"] for row in chosen}
-    ids = sorted({row["id"] for row in chosen if row["id"] is not None})
-    texts = df.where(F.col(key).isin(ids) & F.col(lang).isNotNull()).select(key, lang, text)
+    # At most SAMPLE_ROWS * MAX_LANGUAGES places, so the list goes to every task.
+    found = rows.withColumn("digest", digest).join(F.broadcast(chosen), ["lang", "id", "digest"])
+    texts = found.groupBy("lang", "place").agg(F.first(F.left("text", F.lit(DICTIONARY_BYTES))).alias("text"))
     sample: dict[str, dict[int, str]] = {}
-    for i, name, value in texts.collect() if ids else []:
-        place = places.get((name, i))
-        if place is not None and value:
-            sample.setdefault(name, {}).setdefault(place, value)
+    for name, place, value in texts.collect():
+        sample.setdefault(name, {})[place] = value
     model = {}
     for name in sorted(sample, key=lambda name: (-counts[name], name)):
         folded = " ".join(fold(sample[name][place]) for place in sorted(sample[name])).encode()
