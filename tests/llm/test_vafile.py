@@ -33,14 +33,16 @@ def made(n, dims, seed=4):
     return rows
 
 
-@pytest.mark.parametrize("block", [16, 8192])
-def test_equals_all_products(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, cells", [(16, 256), (16, 5), (65536, 256), (65536, 3)])
+def test_equals_all_products(spark, monkeypatch, block, cells):
     monkeypatch.setattr(vafile, "BLOCK_ROWS", block)
     monkeypatch.setattr(vafile, "QUERY_ROWS", 5)
+    monkeypatch.setattr(vafile, "CELLS", cells)
     rows = made(150, 12)
     rows += [(500, None), (520, [math.nan] * 12), (540, [math.inf] + [0.0] * 11), (None, [0.1] * 12),
              (560, [None] + [0.0] * 11), (580, [0.5, 0.5]), (581, [0.25, -0.5]), (600, []), (601, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score", "2 AS rank")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = df.selectExpr("*", "1 AS score", "2 AS rank", "'x' AS _row", "3 AS block")
     out = [tuple(r) for r in vafile.top_k(df).collect()]
     assert sorted(out) == brute(rows)
 
@@ -56,22 +58,41 @@ def test_repeated_rows_are_rows_of_their_own(spark):
     assert sorted(r["rank"] for r in vafile.top_k(df).collect()) == [1, 1, 1, 2, 2, 2]
 
 
-def test_bounds_hold_every_product():
+@pytest.mark.parametrize("cells, size", [(7, 90), (256, 90), (256, 2**20), (256, 2**40)])
+def test_bounds_hold_every_product(cells, size):
     rng = np.random.default_rng(1)
-    exact = rng.integers(-90, 90, (200, 8))
-    approximation = vafile.Approximation(exact, cells=7)
-    low = approximation.lowest()
-    assert (low <= exact).all() and (exact < low + approximation.step).all()
-    assert approximation.cells.max() < 7
-
-
-@pytest.mark.parametrize("n", [1, 2, 5, 19, 20, 21, 60])
-def test_large_components_in_small_blocks(n):
+    exact = rng.integers(-size, size, (200, 8))
+    file = vafile.Approximation.of(exact, cells)
+    low = file.low + file.cells.astype(np.int64) * file.step
+    assert (low <= exact).all() and (exact < low + file.step).all()
+    assert file.cells.max() < cells
+    queries = rng.integers(-90, 90, (30, 8))
+    corners, fall, rise = file.bounds(queries)
+    true = queries @ exact.T
+    assert (corners + fall[:, None] <= true).all() and (true <= corners + rise[:, None]).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 19, 20, 21, 60, 400])
+@pytest.mark.parametrize("size", [3, 40, 2**29])
+def test_the_best_stay_possible(n, size):
+    """None of a query's best k is cut, whatever the size of components, ties and small blocks."""
     rng = np.random.default_rng(n)
-    exact = rng.integers(-(2**29), 2**29, (n, 6))
+    exact = rng.integers(-size, size, (n, 6))
     rows = np.arange(n)
-    found = {q: (places.tolist(), products.tolist())
-             for q, places, products in vafile.best_of_block(exact, rows, exact, rows, rows, 20)}
-    for q in range(n):
-        want = sorted((-sum(int(x) * int(y) for x, y in zip(exact[q], exact[j])), j) for j in range(n) if j != q)[:20]
-        assert found[q] == ([j for _, j in want], [-s for s, _ in want])
+    ids = rng.permutation(n)
+    left = 0
+    for q, at, lower, upper in vafile.possible(vafile.Approximation.of(exact), exact, rows, rows, ids, 20):
+        want = sorted((-sum(int(x) * int(y) for x, y in zip(exact[q], exact[j])), ids[j], j) for j in range(n) if j != q)
+        assert {j for _, _, j in want[:20]} <= set(at.tolist())
+        assert all(a <= sum(int(x) * int(y) for x, y in zip(exact[q], exact[j])) <= b
+                   for j, a, b in zip(at.tolist(), lower.tolist(), upper.tolist()))
+        left += len(at)
+    if size <= 40:
+        # One byte a component tells such numbers apart, so nothing else is left to be read.
+        assert left == n * min(20, n - 1)
+
+
+def test_widest_numbers():
+    exact = np.array([[-(2**63), 5], [2**63 - 1, 5], [0, 5]])
+    file = vafile.Approximation.of(exact)
+    assert [int(a) + int(c) * int(s) <= int(x) for a, c, s, x in zip(file.low[[0] * 3], file.cells[:, 0], file.step[[0] * 3], exact[:, 0])] == [True] * 3
