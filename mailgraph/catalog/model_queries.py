@@ -21,7 +21,7 @@ from mailgraph.plans import dynamic_graph, topic_model
 from mailgraph.session import scratch_folder, settle
 
 K = 10
-LDA_PASSES = 8
+LDA_PASSES, SWEEP_PASSES = 8, 3
 PERPLEXITY_COUNTS = [2, 8]
 # Three made topics of five words each: the fifteen words in most documents, in this order.
 TOPIC_WORDS = 15
@@ -316,6 +316,43 @@ def perplexity_sql(models: list[tuple[str, str]]) -> str:
     return f"WITH RECURSIVE {BODY_BAG},\n{HALVES} " + "\nUNION ALL ".join(rows)
 
 
+def lda_terms_sql(k: int, passes: int, n: int) -> str:
+    """k, topic, word of the ``n`` heaviest words of each topic."""
+    return f"""SELECT {k} AS k, topic, word FROM (WITH {lda_ctes("bag", k, passes)},
+long AS (SELECT word, CAST(unnest(range(0, {k})) AS INTEGER) AS topic, unnest([{_list("h{j}", k)}]) AS prob FROM phi)
+SELECT topic, word FROM long QUALIFY row_number() OVER (PARTITION BY topic ORDER BY prob DESC, word) <= {n})"""
+
+
+def lda_sweep_sql(counts: list[int], passes: int, n: int) -> str:
+    """Windows are counted for the words of all topics at once; then each topic is scored."""
+    terms = "\nUNION ALL ".join(lda_terms_sql(k, passes, n) for k in counts)
+    return f"""WITH {BODY_BAG},
+terms AS MATERIALIZED ({terms}),
+top AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT DISTINCT word FROM terms)),
+hit AS MATERIALIZED (
+  SELECT DISTINCT file_id, id, unnest(range(greatest(0, pos - 109), least(pos, greatest(n - 110, 0)) + 1)) AS win
+  FROM (SELECT file_id, len(words) AS n, unnest(words) AS word, unnest(range(0, len(words))) AS pos FROM tok)
+  JOIN top USING (word)),
+pairs AS MATERIALIZED (SELECT DISTINCT x.id AS a, y.id AS b FROM terms s JOIN terms t USING (k, topic)
+  JOIN top x ON x.word = s.word JOIN top y ON y.word = t.word),
+joint AS MATERIALIZED (
+  SELECT a, b, count(h.id) AS n FROM pairs JOIN hit g ON g.id = a LEFT JOIN hit h ON h.id = b AND h.file_id = g.file_id AND h.win = g.win
+  GROUP BY a, b),
+total AS (SELECT CAST(sum(greatest(1, len(words) - 109)) AS BIGINT) AS n FROM tok WHERE len(words) > 0),
+p AS (
+  SELECT s.k, s.topic, x.id AS a, y.id AS b, j.n / (SELECT n FROM total) AS pab,
+    sx.n / (SELECT n FROM total) AS pa, sy.n / (SELECT n FROM total) AS pb
+  FROM terms s JOIN terms t USING (k, topic) JOIN top x ON x.word = s.word JOIN top y ON y.word = t.word
+  JOIN joint j ON j.a = x.id AND j.b = y.id JOIN joint sx ON sx.a = x.id AND sx.b = x.id JOIN joint sy ON sy.a = y.id AND sy.b = y.id),
+npmi AS (SELECT k, topic, a, b, ln((pab + 1e-12) / (pa * pb)) / -ln(pab + 1e-12) AS v FROM p),
+whole AS (SELECT k, topic, b, sum(v) AS v FROM npmi GROUP BY k, topic, b),
+cosine AS (
+  SELECT k, topic, a, sum(m.v * w.v) / (sqrt(sum(m.v * m.v)) * sqrt(sum(w.v * w.v))) AS c
+  FROM npmi m JOIN whole w USING (k, topic, b) GROUP BY k, topic, a)
+SELECT CAST(k AS INTEGER) AS k, round(avg(score), 6) AS coherence
+FROM (SELECT k, topic, avg(c) AS score FROM cosine GROUP BY k, topic) GROUP BY k"""
+
+
 _SHARED = V.EDGES.replace("edges AS", "all_edges AS", 1) + """, edges AS (
   SELECT DISTINCT * REPLACE (file_id % (SELECT count(*) FROM documents) AS file_id) FROM all_edges)"""
 
@@ -368,6 +405,16 @@ def sampled_graph(spark, sf_dir):
     )
 
 
+def lda_sweep(spark, sf_dir):
+    """Coherence of the LDA models of all topic counts tried for mails."""
+    docs = settle(X.document_tokens(spark, sf_dir))
+    bow = settle(T.bag_of_words(R.terms.term_frequency(docs).select("file_id", "word")))
+    models = L.fit_sweep(bow, T.MAIL_TOPIC_COUNTS, passes=SWEEP_PASSES)
+    terms = {model.k: model.topic_terms(topic_model.COHERENCE_TERMS) for model in models}
+    scores = C.coherences(docs, terms)
+    return spark.createDataFrame([(k, round(c, 6)) for k, c in scores.items()], "k int, coherence double")
+
+
 def best_model(spark, sf_dir):
     """Topic count chosen by coherence, and the dominant topics of the chosen model."""
     docs = settle(X.document_tokens(spark, sf_dir))
@@ -493,6 +540,7 @@ GROUP BY label ORDER BY coherence DESC, k LIMIT 1""",
         f"WITH {WINDOW_COUNTS} SELECT a, b, n FROM joint UNION ALL SELECT -1, -1, n FROM total",
     ),
     "coherence_cv": (coherence_cv, COHERENCE),
+    "lda_sweep": (lda_sweep, lda_sweep_sql(T.MAIL_TOPIC_COUNTS, SWEEP_PASSES, topic_model.COHERENCE_TERMS)),
     "best_model": (best_model, None),
     "dynamic_graph_snapshots": (
         dynamic_graph_snapshots,

@@ -31,13 +31,26 @@ def remove_hits(text: Column, pattern: str, group: int = 0) -> Column:
     return F.transform(F.array(text), without)[0]
 
 
-def header_value(block: Column, name: str) -> Column:
-    """Raw value of the first header called ``name``; NULL when there is none.
+def header_lines(block: Column, names: list[str]) -> Column:
+    """All headers with one of the names as an array of (name in lower case, value), by one scan.
 
     ``block`` starts with a newline. Continuation lines stay in the value.
     """
-    pattern = rf"(?i)\n{name}:[ \t]*([^\n]*+(?:\n[ \t][^\n]*+)*+)"
-    return F.when(block.rlike(rf"(?i)\n{name}:"), F.regexp_extract(block, pattern, 1))
+    wanted = "|".join(names)
+    pattern = rf"(?i)\n((?:{wanted}):[^\n]*+(?:\n[ \t][^\n]*+)*+)"
+    found = F.regexp_extract_all(block, F.lit(pattern), F.lit(1))
+
+    def pair(line: Column) -> Column:
+        name = F.substring_index(line, ":", 1)
+        value = F.ltrim(F.substr(line, F.length(name) + 2), F.lit(" \t"))
+        return F.struct(F.lower(name).alias("name"), value.alias("value"))
+
+    return F.transform(found, pair)
+
+
+def header_value(lines: Column, name: str) -> Column:
+    """Raw value of the first header called ``name`` of ``header_lines``; NULL when there is none."""
+    return F.get(F.filter(lines, lambda line: line["name"] == name.lower()), F.lit(0))["value"]
 
 
 def clean_header(value: Column) -> Column:
@@ -96,23 +109,37 @@ def mail_epoch(date: Column) -> Column:
     the next month.
     """
     text = F.lower(date)
-
-    def part(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-    def number(day_first: int, year_last: int) -> Column:
-        return F.coalesce(part(_DAY_FIRST, day_first), part(_YEAR_LAST, year_last)).cast("int")
-
-    name = F.coalesce(part(_DAY_FIRST, 2), part(_YEAR_LAST, 1))
     short = F.array(*[F.lit(m[:3]) for m in fixed.MONTHS])
-    known = name.isin(fixed.MONTHS) | (F.length(name) == 3)
-    month = F.array_position(short, F.substring(name, 1, 3)).cast("int")
-    year = number(3, 6)
-    year = F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    first = F.make_date(year, F.when(known & (month > 0), month), F.lit(1))
-    days = F.unix_date(first).cast("bigint") + number(1, 2) - 1
-    clock = number(4, 3) * 3600 + number(5, 4) * 60 + F.coalesce(number(6, 5), F.lit(0))
-    return (days * 86400 + clock).cast("double")
+
+    # Each pattern runs once; what it has matched is taken apart at its separators.
+    def matched(hit: Column) -> Column:
+        late = F.regexp_extract(text, _YEAR_LAST, 0)
+        parts = F.split(F.when(hit != "", hit).otherwise(late), "[^a-z0-9]+")
+        return F.struct((hit != "").alias("day_first"), parts.alias("parts"))
+
+    def epoch(found: Column) -> Column:
+        parts, day_first = found["parts"], found["day_first"]
+
+        def part(early: int, late: int) -> Column:
+            return F.get(parts, F.when(day_first, early).otherwise(late))
+
+        def number(value: Column) -> Column:
+            return value.try_cast("int")
+
+        # With the year last a zone may stand where the second else does.
+        year = F.when(day_first, F.get(parts, F.lit(2))).otherwise(F.element_at(parts, -1))
+        second = F.when(F.size(parts) > 5, number(part(5, 4)))
+        name, year = part(1, 0), number(year)
+        known = name.isin(fixed.MONTHS) | (F.length(name) == 3)
+        month = F.array_position(short, F.substring(name, 1, 3)).cast("int")
+        year = F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
+        first = F.make_date(year, F.when(known & (month > 0), month), F.lit(1))
+        days = F.unix_date(first).cast("bigint") + number(part(0, 1)) - 1
+        clock = number(part(3, 2)) * 3600 + number(part(4, 3)) * 60 + F.coalesce(second, F.lit(0))
+        return (days * 86400 + clock).cast("double")
+
+    hit = F.transform(F.array(F.regexp_extract(text, _DAY_FIRST, 0)), matched)
+    return F.transform(hit, epoch)[0]
 
 
 def time_text(epoch: Column) -> Column:

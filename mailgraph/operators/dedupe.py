@@ -67,7 +67,7 @@ def _plain_lines(contested: DataFrame, tol: float) -> tuple[DataFrame, DataFrame
     mails, too, so plain mails conflict with none of the rest.
     """
     edges = contested.select("file_id", *PAIR, "msg_time").distinct()
-    runs = settle(gap_runs(edges, PAIR, "msg_time", tol, "file_id"))
+    runs = gap_runs(edges, PAIR, "msg_time", tol, "file_id")
     goes_on = F.col("prior").isNotNull()
     shape = runs.groupBy("run").agg(
         (F.min("file_id") < F.max("file_id")).alias("shared"),
@@ -241,6 +241,12 @@ def dedupe_messages(
         edges = edges.join(log.select("file_id"), "file_id", "left_anti")
 
     contested = settle(_contested(edges, tol))
+    if contested.isEmpty():
+        if log is None:
+            log = mails.sparkSession.createDataFrame(
+                [], "file_id bigint, prior_msg_time double, msg_time double, time_diff double"
+            )
+        return mails.join(log.select("file_id"), "file_id", "left_anti"), log
     lines, rest = _plain_lines(contested, tol)
     pending, decided, round_no = settle(rest), [_decide_lines(lines, tol)], 0
     while left := pending.count():

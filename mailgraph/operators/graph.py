@@ -106,14 +106,16 @@ def month_calendar(edges: DataFrame) -> DataFrame:
     return windows.filter(F.col("window_end") <= last)
 
 
-def in_month_windows(edges: DataFrame) -> DataFrame:
+def in_month_windows(edges: DataFrame, span: tuple[int, int] | None) -> DataFrame:
     """One row per edge and window holding it, both window ends inclusive.
 
+    ``span`` is the ``time_span`` of all edges; ``edges`` should be a stored table.
+
     The window follows from the mail's own month, so nothing is joined: a mail before its
     month's end instant is in the window closing then, one after it in the next, one exactly
     on it in both. Mails before the first or after the last month end are in none.
     """
-    first, last = time_span(edges) or (0, 0)
+    first, last = span or (0, 0)
     tod = first % DAY
     day = F.timestamp_seconds(F.floor("msg_time")).cast("date")
     month = F.trunc(day, "month")
@@ -143,8 +145,9 @@ def number_snapshots(windowed: DataFrame) -> DataFrame:
 
 def monthly_edges(edges: DataFrame) -> DataFrame:
     """Distinct pairs per non-empty month with their mail count."""
+    chosen = settle(filtered_edges(edges).select("sender", "recipient", "msg_time"))
     pairs = (
-        in_month_windows(filtered_edges(edges))
+        in_month_windows(chosen, time_span(chosen))
         .groupBy("window_start", "window_end", "sender", "recipient")
         .agg(F.count("*").alias("mails"))
     )

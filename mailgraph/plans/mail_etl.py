@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from mailgraph.operators import messages as M
 from mailgraph.operators import terms as T
 from mailgraph.operators.dedupe import dedupe_messages
 from mailgraph.operators.numbering import dense_ids
+from mailgraph.plans import growing
 from mailgraph.session import settle
 from mailgraph.sources import mail_files as S
 from mailgraph.sources.tables import append_table, not_in, stored
@@ -32,6 +35,8 @@ class MailTables:
 
 
 TABLES = [f.name for f in fields(MailTables)]
+# Buckets of the table of known links.
+LINK_BUCKETS = 32
 
 
 def new_files(files: DataFrame, *known: DataFrame | None) -> DataFrame:
@@ -43,16 +48,45 @@ def new_files(files: DataFrame, *known: DataFrame | None) -> DataFrame:
     return links.drop("file_link")
 
 
-def known_files(spark: SparkSession, folder: str) -> list[DataFrame | None]:
-    """Links of all files that earlier loads have catalogued or logged."""
-    rejected = stored_table(spark, folder, "reject_log")
-    if rejected is not None:
-        rejected = rejected.select(H.escape_path(F.col("path")).alias("file_link"))
-    return [
-        stored_table(spark, folder, "mail_list"),
-        stored_table(spark, folder, "unprocessed_log"),
-        rejected,
-    ]
+def link_table(spark: SparkSession, folder: str, buckets: int = LINK_BUCKETS) -> str:
+    """Name of the table of all links that loads have catalogued or logged, bucketed by link.
+
+    Its files lie below ``folder``; the name is only this session's. An increment is dealt into the
+    buckets, the table itself is not shuffled. ``buckets`` must stay as it was first given, and be
+    at least the number of shuffle partitions: below that the engine deals out both sides.
+    """
+    path = f"{folder}/links"
+    name = f"mailgraph_links_{hashlib.md5(path.encode()).hexdigest()}"
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} (file_link STRING, attempt STRING) USING parquet"
+        f" CLUSTERED BY (file_link) SORTED BY (file_link) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    spark.catalog.refreshTable(name)
+    return name
+
+
+def known_links(spark: SparkSession, folder: str, buckets: int = LINK_BUCKETS) -> DataFrame | None:
+    """Links of all files that finished loads have catalogued or logged; None before the first.
+
+    Rows of a load that failed midway carry an attempt that ``loads`` does not name.
+    """
+    loads = stored(spark, f"{folder}/loads")
+    if loads is None:
+        return None
+    attempts = [row["attempt"] for row in loads.select("attempt").distinct().collect()]
+    table = spark.table(link_table(spark, folder, buckets))
+    return table.filter(F.col("attempt").isin(attempts)).select("file_link")
+
+
+def _add_links(spark: SparkSession, folder: str, batch: int, attempt: str, buckets: int) -> None:
+    """The links that a batch has just written to its catalogue and logs."""
+    written = [spark.read.parquet(f"{folder}/{name}/batch={batch}") for name in ("mail_list", "unprocessed_log")]
+    rejected = spark.read.parquet(f"{folder}/reject_log/batch={batch}")
+    links = rejected.select(H.escape_path(F.col("path")).alias("file_link"))
+    for table in written:
+        links = links.unionByName(table.select("file_link"))
+    links = links.repartition(buckets, "file_link").withColumn("attempt", F.lit(attempt))
+    links.write.insertInto(link_table(spark, folder, buckets))
 
 
 def file_numbers(files: DataFrame, start: int = 1) -> DataFrame:
@@ -130,6 +164,7 @@ def load_batch(
     lemmas: DataFrame | None = None,
     tol: float = 2.0,
     fix_fwd: bool = False,
+    link_buckets: int = LINK_BUCKETS,
 ) -> None:
     """Add files (path, text) that are not catalogued yet to the tables below ``folder``.
 
@@ -145,14 +180,18 @@ def load_batch(
             return
         done = loads.agg(F.max("batch"), F.max("last_file_id")).first()
         batch, last_id = done[0] + 1, done[1]
-    files = new_files(files, *known_files(spark, folder))
+    files = new_files(files, known_links(spark, folder, link_buckets))
     numbers = settle(file_numbers(files, last_id + 1))
     messages = read_messages(files, numbers, stop_words, lemmas, fix_fwd)
     tables = build_tables(messages, stored_table(spark, folder, "edges"), tol)
     for name in TABLES:
         getattr(tables, name).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    attempt = uuid.uuid4().hex
+    _add_links(spark, folder, batch, attempt, link_buckets)
     last_id = numbers.agg(F.max("file_id")).first()[0] or last_id
-    load = spark.createDataFrame([(batch, last_id, token)], "batch int, last_file_id bigint, token string")
+    load = spark.createDataFrame(
+        [(batch, last_id, token, attempt)], "batch int, last_file_id bigint, token string, attempt string"
+    )
     append_table(load.coalesce(1), f"{folder}/loads")
 
 
@@ -165,6 +204,23 @@ def load_archive(
     load_batch(S.scan_mail_files(spark, root), folder, **options)
 
 
+def grow(spark: SparkSession, folder: str) -> None:
+    """Bring the growing tables below ``folder`` up to the loads: term counts, ids, months.
+
+    Only batches that they do not hold yet are read; see ``growing``.
+    """
+    jobs = (
+        ("body_tf", "body_growth", growing.add_terms),
+        ("subject_tf", "subject_growth", growing.add_terms),
+        ("edges", "graph_growth", growing.add_edges),
+    )
+    for name, target, add in jobs:
+        last = growing.last_load(spark, f"{folder}/{target}")
+        done = stored(spark, f"{folder}/loads").agg(F.max("batch")).first()[0]
+        for batch in range(last["batch"] + 1 if last else 1, done + 1):
+            add(spark.read.parquet(f"{folder}/{name}/batch={batch}"), f"{folder}/{target}")
+
+
 def build_term_tables(tf: DataFrame, folder: str, name: str) -> None:
     """IDF and TF-IDF tables of a stored term-frequency table (``name`` is body or subject)."""
     T.idf(tf).write.mode("overwrite").parquet(f"{folder}/{name}_idf")

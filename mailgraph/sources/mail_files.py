@@ -99,13 +99,14 @@ def split_mail(files: DataFrame, text: str = "text") -> DataFrame:
     ended = F.col("_end") > 0
     block = F.when(ended, F.expr("substring(_lines, 1, _end - 1)")).otherwise(F.col("_lines"))
     rest = F.when(ended, F.expr("substring(_lines, _end + 1)")).otherwise(F.lit(""))
-    halves = marked.withColumns({"_block": block, "_rest": rest})
+    lines = H.header_lines(block, list(HEADER_NAMES.values()))
+    halves = marked.withColumns({"_headers": lines, "_rest": rest})
     columns = {
-        name: H.header_value(F.col("_block"), header) for name, header in HEADER_NAMES.items()
+        name: H.header_value(F.col("_headers"), header) for name, header in HEADER_NAMES.items()
     }
     empty_line = F.startswith("_rest", F.lit("\n"))
     columns["raw_body"] = F.when(empty_line, F.expr("substring(_rest, 2)")).otherwise(F.col("_rest"))
-    return halves.withColumns(columns).drop("_lines", "_end", "_block", "_rest", text)
+    return halves.withColumns(columns).drop("_lines", "_end", "_headers", "_rest", text)
 
 
 def load_stop_words(spark: SparkSession, path: str) -> DataFrame:

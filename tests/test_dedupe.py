@@ -208,3 +208,25 @@ def test_sample_sizes_and_repeatability(spark):
     assert single.isEmpty()
     other = sample_in_group(df, ["g"], ["id"], 75, seed=7)
     assert sorted(first.collect()) != sorted(other.collect())
+
+
+@pytest.mark.parametrize("sorted_rows, bins", [(4096, 256), (20, 4), (3, 256)])
+def test_sample_equals_sorted_digests(spark, monkeypatch, sorted_rows, bins):
+    """Large groups, small ones, a null one and repeated rows, by selection and by sorting."""
+    import hashlib
+
+    from mailgraph.operators import sampling
+
+    monkeypatch.setattr(sampling, "SORTED_ROWS", sorted_rows)
+    monkeypatch.setattr(sampling, "BINS", bins)
+    rng = random.Random(bins)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), n) for n in range(700)]
+    rows += [("hot", 5), ("same", 1), ("same", 1), ("same", 1), ("same", 1), ("one", 1)]
+    df = spark.createDataFrame(rows, "g string, id bigint")
+    found = sorted(((r["g"], r["id"], r["group_size"]) for r in sample_in_group(df, ["g"], ["id"], 60).collect()), key=str)
+    want = []
+    for g in {g for g, _ in rows}:
+        ids = [n for h, n in rows if h == g]
+        text = lambda n: hashlib.md5("|".join(["42", *([g] if g else []), str(n)]).encode()).hexdigest()  # noqa: E731, B023
+        want += [(g, n, len(ids)) for n in sorted(ids, key=text)[: len(ids) * 60 // 100]]
+    assert found == sorted(want, key=str)

@@ -1,6 +1,7 @@
 """Loading archives: files, increments, repeated batches, streams, exports and snapshots."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,3 +241,106 @@ def test_lemmas_keep_order_repeats_and_empty_documents(spark):
     lemmas = spark.createDataFrame([("ships", "ship")], "form string, lemma string")
     found = {r["file_id"]: r["tokens"] for r in lemmatise(docs, lemmas).collect()}
     assert found == {1: ["ship", "sail", "ship"], 2: [], 3: [], 4: ["sail"]}
+
+
+def test_second_load_leaves_the_history_in_place(spark, archive, tmp_path, capsys):
+    """The links of earlier loads are met by an increment without being shuffled."""
+    folder = str(tmp_path / "tables")
+    mail_etl.load_batch(mail_files.scan_mail_files(spark, str(archive)), folder)
+    known = mail_etl.known_links(spark, folder)
+    files = mail_files.scan_mail_files(spark, str(archive))
+    assert known.count() == files.count() and mail_etl.new_files(files, known).isEmpty()
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = [spark.conf.get(name) for name in names]
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    try:
+        mail_etl.new_files(files, known).explain("formatted")
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    tree = capsys.readouterr().out.split("\n\n")[0].splitlines()
+    scan = next(n for n, line in enumerate(tree) if "Scan parquet" in line and "links" in line)
+    depth = tree[scan].index("Scan parquet")
+    above = [line for line in tree[:scan] if line.strip(" :+-*").startswith("Exchange")]
+    # The only exchange is on the side of the batch: it stands beside the table's branch, not above.
+    assert len(above) == 1 and tree.index(above[0]) < scan and ":" in above[0][:depth]
+
+
+def test_links_of_a_failed_load_are_not_known(spark, archive, tmp_path, monkeypatch):
+    folder = str(tmp_path / "tables")
+    def fail(*args):
+        raise OSError("no space")
+    monkeypatch.setattr(mail_etl, "append_table", fail)
+    with pytest.raises(OSError):
+        mail_etl.load_batch(mail_files.scan_mail_files(spark, str(archive)), folder)
+    monkeypatch.undo()
+    assert mail_etl.known_links(spark, folder) is None
+    mail_etl.load_batch(mail_files.scan_mail_files(spark, str(archive)).limit(1), folder)
+    assert mail_etl.known_links(spark, folder).count() == 1
+    mail_etl.load_batch(mail_files.scan_mail_files(spark, str(archive)), folder)
+    links = [r["file_link"] for r in mail_etl.known_links(spark, folder).collect()]
+    assert len(links) == len(set(links)) == mail_files.scan_mail_files(spark, str(archive)).count()
+
+
+def test_growing_tables_equal_a_recount(spark, tmp_path):
+    """Three loads, the last one with mails of earlier months and an earlier first mail."""
+    from mailgraph.operators import terms
+    from mailgraph.plans import growing
+
+    rng = random.Random(3)
+    rows = [(n, f"p{rng.randint(0, 9)}", f"q{rng.randint(0, 9)}", float(rng.randint(0, 40_000_000))) for n in range(500)]
+    day = 86400.0
+    # Mails around month ends, at the second at which windows turn and beside it.
+    rows += [(500 + n, "p1", "q1", 30 * day + 7 + n - 2) for n in range(5)] + [(600, "", "q1", 1e6), (601, "p1", "q2", 7.0)]
+    edges = spark.createDataFrame(rows, "file_id bigint, sender string, recipient string, msg_time double")
+    tf = spark.createDataFrame([(n % 90, f"w{rng.randint(0, 40)}") for n in range(900)], "file_id bigint, word string").distinct()
+    parts = [edges.filter("file_id < 200"), edges.filter("file_id >= 200 and file_id < 601"), edges.filter("file_id = 601")]
+    seen = {}
+    for n, part in enumerate(parts):
+        growing.add_edges(part, f"{tmp_path}/graph")
+        growing.add_terms(tf.filter(f"file_id % 3 = {n}"), f"{tmp_path}/terms")
+        for row in growing.accounts_after_loads(spark, f"{tmp_path}/graph").collect():
+            assert seen.setdefault(row["account"], row["node_id"]) == row["node_id"]
+    assert sorted(seen.values()) == list(range(len(seen)))
+    pairs = {(r["sender"], r["recipient"]): r["frequency"] for r in growing.connections_after_loads(spark, f"{tmp_path}/graph").collect()}
+    assert pairs == {(r["sender"], r["recipient"]): r["frequency"] for r in graph.pair_frequency(edges).collect()}
+    months = growing.monthly_edges_after_loads(spark, f"{tmp_path}/graph")
+    assert sorted(months.collect()) == sorted(graph.monthly_edges(edges).collect())
+    idf = growing.idf_after_loads(spark, f"{tmp_path}/terms")
+    assert sorted(idf.collect()) == sorted(terms.idf(tf).collect())
+    frozen = growing.idf_after_loads(spark, f"{tmp_path}/terms", frozen=True)
+    first = terms.idf(tf.filter("file_id % 3 = 0"))
+    assert frozen.count() == idf.count() and first.exceptAll(frozen).isEmpty()
+
+
+def test_a_load_that_failed_leaves_growing_tables_as_they_were(spark, tmp_path, monkeypatch):
+    from mailgraph.plans import growing
+
+    tf = spark.createDataFrame([(1, "a"), (2, "b")], "file_id bigint, word string")
+    growing.add_terms(tf.filter("file_id = 1"), str(tmp_path))
+    def fail(*args):
+        raise OSError("no space")
+    monkeypatch.setattr(growing, "append_table", fail)
+    with pytest.raises(OSError):
+        growing.add_terms(tf.filter("file_id = 2"), str(tmp_path))
+    assert [r["word"] for r in growing.idf_after_loads(spark, str(tmp_path)).collect()] == ["a"]
+    monkeypatch.undo()
+    growing.add_terms(tf.filter("file_id = 2"), str(tmp_path))
+    assert sorted(r["df"] for r in growing.idf_after_loads(spark, str(tmp_path)).collect()) == [1, 1]
+
+
+def test_growing_tables_follow_the_loads(spark, archive, tmp_path):
+    from mailgraph.operators import terms
+    from mailgraph.plans import growing
+
+    folder = str(tmp_path / "tables")
+    files = mail_files.scan_mail_files(spark, str(archive)).cache()
+    for part in (files.limit(2), files):
+        mail_etl.load_batch(part, folder)
+        mail_etl.grow(spark, folder)
+    mail_etl.grow(spark, folder)
+    whole = terms.idf(mail_etl.stored_table(spark, folder, "body_tf"))
+    assert sorted(growing.idf_after_loads(spark, f"{folder}/body_growth").collect()) == sorted(whole.collect())
+    names = {r["account"] for r in growing.accounts_after_loads(spark, f"{folder}/graph_growth").collect()}
+    assert names == {r["account"] for r in graph.account_names(mail_etl.stored_table(spark, folder, "edges")).collect()}
