@@ -1,17 +1,16 @@
-"""Repeated passages by a suffix tree over words that is cut into groups by prefix.
-
-Only the part of the tree that can hold a repeat of WINDOW words is built, and it is built in two
-levels of prefix length. Short level: in every window the run of PREFIX words with the smallest
-hash is its anchor, so equal windows have equal anchors; an anchor that occurs once hangs from a
-leaf, and all windows around it are dropped. Long level: the prefixes of the windows left are
-lengthened to WINDOW words, and a node of that depth with two leaves is a repeat. Edge labels are
-carried as hashes (64 bits for anchors, 128 for windows); runs of covered words are the maximal
-repeats.
-
-Documents are dealt into chunks by a hash and never leave them. A chunk sorts its own prefixes
-and sends each distinct one once to the group that holds its part of the tree, and gets back one
-bit for each. So a passage that a third of all documents share costs a group one entry for each
-chunk, whatever its number of copies.
+"""Repeated passages from groups of equal prefixes, at two prefix lengths; no tree is built.
+
+Two depths of a suffix tree over words would tell the same: which runs of PREFIX words and which
+runs of WINDOW words occur twice. Only these two are looked at, and the first only at anchors: in
+every window the run of PREFIX words with the smallest hash is its anchor, so equal windows have
+equal anchors; windows around an anchor that occurs once are dropped. The prefixes of the windows
+left are lengthened to WINDOW words, and one that occurs twice is a repeat. Runs are compared by
+their hashes (64 bits for anchors, 128 for windows); runs of covered words are the maximal repeats.
+
+Documents are dealt into chunks by their row number and never leave them. A chunk sorts its own
+prefixes and sends each distinct one once to the group that its hash names, and gets back one bit
+for each. So a passage that a third of all documents share costs a group one entry for each chunk,
+whatever its number of copies.
 """
 
 from __future__ import annotations
@@ -25,9 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailgraph.llm.common import kept_in_worker, texts_of, words
+from mailgraph.session import settle
 
 WINDOW, PREFIX = 35, 8
-# Bytes of text in a chunk, and chunks to a group of the tree, on average.
+# Bytes of text in a chunk, and chunks to a group of prefixes, on average.
 CHUNK_BYTES, CHUNKS_PER_GROUP = 2 << 20, 6
 MEMO_WORDS = 300_000
 _ANCHORS, _WINDOWS = 1, 2
@@ -173,7 +173,7 @@ def _answers(rows: pa.Table, level: int, hashes: np.ndarray, groups: int) -> np.
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    """A group's part of the tree: a bit for each prefix that two chunks have sent."""
+    """A bit for each prefix of a group that two chunks have sent."""
     level = table["_level"][0].as_py()
     kind = "<u8" if level == _ANCHORS else "<u8,<u8"
     parts = [np.frombuffer(data, kind) for data in table["_data"].to_pylist()]
@@ -208,19 +208,22 @@ def remove_repeats(
     if any was removed, and appended are ``n_words``, ``n_removed``, ``spans`` (from, to: the
     maximal runs removed, in words) and ``kept_words`` (the words left, joined by one blank).
     All runs are judged on the input. A null text has no words; texts shorter than the window
-    keep all. Rows that are equal are repeats of each other; an empty table gives an empty one.
-    Columns of ``df`` that are named like an appended one are replaced.
+    keep all. Rows that are equal are repeats of each other, and are dealt out like others; an
+    empty table gives an empty one. Columns of ``df`` that are named like an appended one, or
+    ``_row``, are replaced.
     """
+    # Chunks must be the same whenever a lost one is made anew, so the row numbers are stored.
+    df = settle(df.withColumn("_row", F.monotonically_increasing_id()))
     appended = "n_words long, n_removed long, spans array<struct<from:int,to:int>>, kept_words string"
     new = T._parse_datatype_string(appended)
-    names = [c for c in df.columns if c not in new.names]
+    names = [c for c in df.columns if c not in new.names and c != "_row"]
     size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
     groups = max(16, -(-chunks // CHUNKS_PER_GROUP))
     dealt = df.select(
         *names,
         F.col(text).alias("_words_of"),
-        F.pmod(F.xxhash64(*[F.col(c) for c in names if _hashable(df.schema[c].dataType)]), F.lit(chunks)).alias("_chunk"),
+        F.pmod(F.xxhash64("_row"), F.lit(chunks)).alias("_chunk"),
     ).drop(text)
 
     def anchors(key, table):
@@ -279,6 +282,3 @@ def remove_repeats(
     both = short.union(longer)
     return by_chunk.cogroup(both.groupBy("_chunk")).applyInArrow(cut, schema)
 
-
-def _hashable(kind: T.DataType) -> bool:
-    return not isinstance(kind, (T.MapType, T.VariantType))
