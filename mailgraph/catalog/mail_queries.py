@@ -157,6 +157,18 @@ def ingest_stream(spark, sf_dir):
     return mail_etl.stored_table(spark, f"{folder}/tables", "edges")
 
 
+def file_stream(spark, sf_dir):
+    """The load of an archive of real files, one a mail, found by the stream in their folders."""
+    folder = f"{scratch_folder(spark)}/files-{uuid.uuid4().hex}"
+    mails = V.raw_mails(spark, sf_dir).select(
+        F.split("path", "/")[1].alias("user"), F.split("path", "/")[3].alias("mail"), F.col("text").alias("value")
+    )
+    mails.repartition("user").write.partitionBy("user", "mail").text(f"{folder}/in")
+    stream = mail_stream.mail_file_stream(spark, f"{folder}/in")
+    mail_stream.start_loading(stream, f"{folder}/tables", f"{folder}/checkpoint").awaitTermination()
+    return mail_etl.stored_table(spark, f"{folder}/tables", "edges")
+
+
 LOADED_EDGES = f"""WITH RECURSIVE {X.DOC_TOKENS},
 {FANOUT},
 usable AS (SELECT file_id, from_mail, sent FROM mails JOIN tok USING (file_id) WHERE len(words) > 0),
@@ -378,6 +390,7 @@ FROM conversations""",
     ),
     "loaded_edges": (loaded_edges, LOADED_EDGES),
     "ingest_stream": (ingest_stream, LOADED_EDGES),
+    "file_stream": (file_stream, LOADED_EDGES),
     "loaded_in_batches": (loaded_in_batches, IN_BATCHES),
     "logged_once": (
         logged_once,

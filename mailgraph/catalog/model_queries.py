@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -323,11 +324,24 @@ long AS (SELECT word, CAST(unnest(range(0, {k})) AS INTEGER) AS topic, unnest([{
 SELECT topic, word FROM long QUALIFY row_number() OVER (PARTITION BY topic ORDER BY prob DESC, word) <= {n})"""
 
 
-def lda_sweep_sql(counts: list[int], passes: int, n: int) -> str:
-    """Windows are counted for the words of all topics at once; then each topic is scored."""
-    terms = "\nUNION ALL ".join(lda_terms_sql(k, passes, n) for k in counts)
-    return f"""WITH {BODY_BAG},
-terms AS MATERIALIZED ({terms}),
+def _tagged(sql: str, k: int) -> str:
+    """The tables of a factorisation under names of their own."""
+    return re.sub(r"\b((h|gh|w|gw|n|g)_(\d+|final)(_p|_steps)?|shares|topic_prob)\b", rf"\g<0>_k{k}", sql)
+
+
+def nmf_terms_sql(k: int, n: int) -> str:
+    """The same for a factorisation, whose tables are tagged."""
+    shares = _list("h{j} / (SELECT sum(h{j}) FROM h_final)", k)
+    long = f"""SELECT word, CAST(unnest(range(0, {k})) AS INTEGER) AS topic, unnest([{shares}]) AS prob FROM h_final"""
+    return f"""SELECT {k} AS k, topic, word FROM ({_tagged(long, k)})
+QUALIFY row_number() OVER (PARTITION BY topic ORDER BY prob DESC, word) <= {n}"""
+
+
+def sweep_ctes(terms: list[str]) -> str:
+    """Coherence of each model, as ``scores``. Windows are counted for the words of all topics at
+    once; then each topic is scored."""
+    union = "\nUNION ALL ".join(terms)
+    return f"""terms AS MATERIALIZED ({union}),
 top AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT DISTINCT word FROM terms)),
 hit AS MATERIALIZED (
   SELECT DISTINCT file_id, id, unnest(range(greatest(0, pos - 109), least(pos, greatest(n - 110, 0)) + 1)) AS win
@@ -348,9 +362,24 @@ npmi AS (SELECT k, topic, a, b, ln((pab + 1e-12) / (pa * pb)) / -ln(pab + 1e-12)
 whole AS (SELECT k, topic, b, sum(v) AS v FROM npmi GROUP BY k, topic, b),
 cosine AS (
   SELECT k, topic, a, sum(m.v * w.v) / (sqrt(sum(m.v * m.v)) * sqrt(sum(w.v * w.v))) AS c
-  FROM npmi m JOIN whole w USING (k, topic, b) GROUP BY k, topic, a)
-SELECT CAST(k AS INTEGER) AS k, round(avg(score), 6) AS coherence
-FROM (SELECT k, topic, avg(c) AS score FROM cosine GROUP BY k, topic) GROUP BY k"""
+  FROM npmi m JOIN whole w USING (k, topic, b) GROUP BY k, topic, a),
+scores AS MATERIALIZED (
+  SELECT CAST(k AS INTEGER) AS k, round(avg(score), 6) AS coherence
+  FROM (SELECT k, topic, avg(c) AS score FROM cosine GROUP BY k, topic) GROUP BY k)"""
+
+
+def best_model_sql(counts: list[int], n: int) -> str:
+    """Dominant topics of the factorisation with the highest coherence."""
+    models = ",\n".join(_tagged(f"{nmf_ctes('bag', k)},\n{nmf_prob_ctes('bag', k)}", k) for k in counts)
+    found = "\nUNION ALL ".join(f"SELECT {k} AS k, * FROM topic_prob_k{k}" for k in counts)
+    return f"""WITH RECURSIVE {BODY_BAG},
+{models},
+{sweep_ctes([nmf_terms_sql(k, n) for k in counts])},
+best AS MATERIALIZED (SELECT k FROM scores WHERE coherence > 0 ORDER BY coherence DESC, k LIMIT 1),
+found AS MATERIALIZED ({found})
+SELECT file_id, topic, prob, k FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY prob DESC, topic) AS r FROM found JOIN best USING (k))
+WHERE r = 1"""
 
 
 _SHARED = V.EDGES.replace("edges AS", "all_edges AS", 1) + """, edges AS (
@@ -540,8 +569,13 @@ GROUP BY label ORDER BY coherence DESC, k LIMIT 1""",
         f"WITH {WINDOW_COUNTS} SELECT a, b, n FROM joint UNION ALL SELECT -1, -1, n FROM total",
     ),
     "coherence_cv": (coherence_cv, COHERENCE),
-    "lda_sweep": (lda_sweep, lda_sweep_sql(T.MAIL_TOPIC_COUNTS, SWEEP_PASSES, topic_model.COHERENCE_TERMS)),
-    "best_model": (best_model, None),
+    "lda_sweep": (
+        lda_sweep,
+        f"""WITH {BODY_BAG},
+{sweep_ctes([lda_terms_sql(k, SWEEP_PASSES, topic_model.COHERENCE_TERMS) for k in T.MAIL_TOPIC_COUNTS])}
+SELECT k, coherence FROM scores""",
+    ),
+    "best_model": (best_model, best_model_sql(T.PAIR_TOPIC_COUNTS, topic_model.COHERENCE_TERMS)),
     "dynamic_graph_snapshots": (
         dynamic_graph_snapshots,
         f"""WITH RECURSIVE {Q.MONTHLY}, {Q.ACCOUNTS}, {BODY_NMF},

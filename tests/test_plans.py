@@ -12,6 +12,7 @@ NATIVE = [
     "body_tf", "body_idf", "word_tfidf", "doc_tfidf", "top_terms", "monthly_edges", "snapshot_attrs",
     "weighted_graph", "sampled_attrs", "edge_node_ids", "near_duplicate_pairs", "nearest_match",
     "header_extract", "merge_folders", "sender_export_subjects", "sender_export_latest_full", "graph_stats",
+    "window_counts",
 ]
 
 
