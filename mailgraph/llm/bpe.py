@@ -308,7 +308,12 @@ def encode(df: DataFrame, path: str, text: str = "text", name: str = "ids") -> D
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """Append the text of packed ids. Null counts as no ids; unknown ids stand for nothing."""
+    """Append the text of packed ids.
+
+    Null counts as no ids and gives an empty text; unknown ids stand for nothing; bytes that are
+    no UTF-8 become replacement characters. A column of ``df`` named like the new one is replaced,
+    others stay. Equal rows give equal texts, an empty table an empty one.
+    """
 
     def texts(column):
         table = kept_in_worker(f"token bytes {path}", lambda: token_bytes(read_spec(path)))

@@ -135,7 +135,8 @@ def canonical_json(df: DataFrame, record: str, layouts: list[Layout] = LAYOUTS)
     """(conv_id, turns, layout) of JSON records, each of which may have another layout.
 
     Turn rows are left out as they are no whole conversations: put them into a table. Records
-    without a layout, null and broken ones come back with null turns and layout.
+    without a layout, null and broken ones come back with null turns and layout. Equal records
+    give equal rows, an empty table an empty one. Other columns are not read.
     """
     whole = [layout for layout in layouts if layout.order is None]
     known = layout_table(whole)
@@ -197,7 +198,13 @@ class Template:
 
 def format_turns(df: DataFrame, template: Template = Template(), turns: str = "turns") -> DataFrame:
     """Append ``formatted`` and ``mask``: runs of characters (learned, length) that make up
-    ``formatted``, learned ones being the texts of the learned role. No turns: an empty text."""
+    ``formatted``, learned ones being the texts of the learned role.
+
+    Null turns and no turns give an empty text and an empty mask. Roles and texts must not be null
+    (``canonical`` makes them empty). Columns of ``df`` named ``formatted`` or ``mask`` are
+    replaced, and one named ``_escaped`` is left out; others stay. Equal rows give equal results,
+    an empty table an empty one.
+    """
     marks = [F.lit(m) for m in (template.start, template.middle, template.stop)]
     sizes = [len(m) for m in (template.start, template.middle, template.stop)]
 
@@ -250,7 +257,11 @@ def read_learned(formatted: str, mask: list[dict], template: Template = Template
 
 def read_back(df: DataFrame, template: Template = Template()) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from
-    ``formatted`` and ``mask`` alone."""
+    ``formatted`` and ``mask`` alone.
+
+    An empty text has no turns. Equal rows, also of one id, are read each by itself; a null id
+    stays null; an empty table gives an empty one. Other columns are not read.
+    """
 
     def digest(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()

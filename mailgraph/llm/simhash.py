@@ -69,7 +69,12 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def with_fingerprints(df: DataFrame, text: str = "text", name: str = "simhash") -> DataFrame:
-    """Append the fingerprint of every whole text as a signed 64-bit number."""
+    """Append the fingerprint of every whole text as a signed 64-bit number.
+
+    Null and empty texts, and texts without words, have fingerprint 0. A column of ``df`` named
+    like the new one is replaced, others stay. Equal texts give equal fingerprints, an empty table
+    an empty one.
+    """
 
     def prints(column):
         values = [fingerprint(value) for value in texts_of(column)]
@@ -383,7 +388,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     64 bits decide. Everything linked over any number of links is one component, named by its
     smallest key. Rows that share a key are one document. Null texts have no words; all rows
     without words are alike. Rows without a key are left out; an empty table gives an empty one.
-    Other columns are not read.
+    The set of a very long text, 8 bytes a shingle, is held whole by the tasks that compare it, and
+    an Arrow batch holds those of BATCH_ROWS texts. Other columns are not read.
     """
     rows = df.where(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")

@@ -1,8 +1,13 @@
 """Laws of the hash tree."""
 
+import math
+import random
+import struct
 import zlib
 from collections import Counter
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from mailgraph.llm import queries, sharding
@@ -49,3 +54,38 @@ def test_weights_move_only_what_they_must(spark):
     assert not any(r["a"] in (4, 5) and r["b"] in (6, 7) for r in moved)
     gone = [leaf for leaf in leaves if leaf.shard != 7] + [sharding.Leaf("r1", "k3", 7, 0.0)]
     assert keys.where(sharding.shard_of(F.col("id"), gone) == 7).isEmpty()
+
+
+def descend(key, leaves):
+    """Level by level, child by child: the least ``-ln(u) / weight`` of each node wins."""
+    path, members = "", [leaf for leaf in leaves if leaf.weight > 0]
+    for level in range(3):
+        children = {}
+        for leaf in members:
+            children.setdefault((leaf.region, leaf.rack, str(leaf.shard))[level], []).append(leaf)
+        best = None
+        for name in sorted(children):
+            h = xxhash.xxh64_intdigest(f"{path}/{name}".encode(), 42)
+            if key is not None:
+                h = xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+            weight = sum(leaf.weight for leaf in children[name])
+            draw = -math.log(((h >> 11) + 0.5) / 2**53) / weight
+            if best is None or draw < best[0]:
+                best = draw, name
+        # The root has no name of its own; a node of one child draws nothing, which changes no winner.
+        path = best[1] if level == 0 else f"{path}/{best[1]}"
+        members = children[best[1]]
+    return members[0].shard
+
+
+@pytest.mark.parametrize("kind", ["layout", "weights"])
+def test_shards_equal_plain_draws(spark, kind):
+    rng = random.Random(4)
+    leaves = sharding.layout(11)
+    if kind == "weights":
+        leaves = [leaf._replace(weight=rng.choice([0.0, 0.5, 1.0, 3.0])) for leaf in leaves]
+    keys = [None, 0, -1, 2**62, *(rng.randint(-(10**9), 10**9) for _ in range(800))]
+    df = spark.createDataFrame([(k,) for k in keys], "id long")
+    out = df.select("id", sharding.shard_of(F.col("id"), leaves).alias("shard")).collect()
+    assert [r["shard"] for r in out] == [descend(r["id"], leaves) for r in out]
+    assert len({r["shard"] for r in out}) > 3
