@@ -3,6 +3,9 @@
 A stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last keep the columns
 of ``documents``. Language and quality drop documents, near-duplicates keep one document of each
 group, repeated passages are cut out of the texts, and what is left is packed.
+
+Every stage takes an empty table and gives an empty one, and keeps columns it does not know. Equal
+rows are judged alike and stay as often as they came, unless a stage says otherwise.
 """
 
 from __future__ import annotations
@@ -19,25 +22,30 @@ from mailgraph.session import scratch_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is sure; one without a letter has none."""
+    """Documents whose language is sure; one without a letter, or without a text, has none."""
     ready(spark)
     return langid.keep_sure(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the compression bands."""
+    """Documents that pass the base rules and the compression bands; a null text has no words."""
     ready(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that shares four in five 5-word shingles."""
+    """The document with the smallest id of each group that shares four in five 5-word shingles.
+
+    Rows that share an id are one document, and rows without an id stay. All texts without words
+    are alike."""
     ready(spark)
     return simhash.keep_first(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur anywhere else."""
+    """All documents, without the passages that occur anywhere else, equal rows included.
+
+    A null text stays null; ``n_chars`` follows the text where words were cut out."""
     ready(spark)
     cut = substring.remove_repeats(docs)
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
@@ -46,7 +54,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
+    """Pieces of the documents and their places in sequences; a null text is one end token."""
     ready(spark)
     return packing.pack(docs, tokenizer_path())
 
