@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailgraph.llm.common import kept_in_worker, texts_of, words
-from mailgraph.session import settle
 
 WINDOW, PREFIX = 35, 8
 # Bytes of text in a chunk, and chunks to a group of prefixes, on average.
@@ -210,10 +209,10 @@ def remove_repeats(
     All runs are judged on the input. A null text has no words; texts shorter than the window
     keep all. Rows that are equal are repeats of each other, and are dealt out like others; an
     empty table gives an empty one. Columns of ``df`` that are named like an appended one, or
-    ``_row``, are replaced.
+    ``_row``, are replaced. ``df`` should be a stored table: row numbers follow its files, so that
+    a task that is run again deals its rows into the same chunks.
     """
-    # Chunks must be the same whenever a lost one is made anew, so the row numbers are stored.
-    df = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    df = df.withColumn("_row", F.monotonically_increasing_id())
     appended = "n_words long, n_removed long, spans array<struct<from:int,to:int>>, kept_words string"
     new = T._parse_datatype_string(appended)
     names = [c for c in df.columns if c not in new.names and c != "_row"]
