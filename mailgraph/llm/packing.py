@@ -62,7 +62,12 @@ class Tokens:
 def pieces(
     df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY
 ) -> DataFrame:
-    """(key, piece, start, length, ids_crc32) of every document, END appended to its ids."""
+    """(_key, piece, start, length, ids_crc32) of every document, END appended to its ids.
+
+    A null text is empty; a null key stays null; equal rows are cut as often as they come; an empty
+    table gives an empty one. A very long text is held whole, with its ids, by one task. Other
+    columns are not read.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = kept_in_worker(f"tokens {path}", lambda: Tokens(path))
@@ -232,57 +237,65 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
 
 
 def search(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple], int]:
-    """The plan, and the nodes it took."""
+    """The plan, and the nodes it took.
+
+    One table of what is left serves all depths: steps are undone on the way back. Only the
+    deepest frame holds an enumeration; one that is come back to enumerates anew up to its place.
+    """
     incumbent = best_fit(histogram, capacity)
     best = sum(bins for bins, _ in incumbent)
     total = sum(length * n for length, n in histogram.items())
     lower = lower_bound(histogram, capacity)
-    spent = 0
-
-    def children(counts: dict[int, int], waste: int) -> Iterator[tuple]:
-        largest = max(counts)
-        others = dict(counts)
-        others[largest] -= 1
-        if not others[largest]:
-            del others[largest]
-        allowed = (best - 1) * capacity - total - waste
-        for filling in fillings(capacity - largest, others, allowed):
+    counts, bins, waste, spent = dict(histogram), 0, 0, 0
+
+    def children(tried: int) -> Iterator[tuple]:
+        """(place, times, items) from place ``tried`` on; each filling has two places."""
+        left, before = dict(counts), waste
+        largest = max(left)
+        others = {one: n - (one == largest) for one, n in left.items() if n > (one == largest)}
+        for n, filling in enumerate(fillings(capacity - largest, others, (best - 1) * capacity - total - before)):
             items = (largest, *filling)
             uses = Counter(items)
             lost = capacity - sum(items)
-            most = min(counts[one] // n for one, n in uses.items())
+            room = (best - 1) * capacity - total - before
+            most = min(left[one] // k for one, k in uses.items())
             if lost:
-                most = min(most, max(1, ((best - 1) * capacity - total - waste) // lost))
-            for times in dict.fromkeys((most, 1)):
-                if waste + times * lost > (best - 1) * capacity - total:
-                    continue
-                after = dict(counts)
-                for one, n in uses.items():
-                    after[one] -= n * times
-                    if not after[one]:
-                        del after[one]
-                yield after, waste + times * lost, (times, items)
-
-    # A frame: its children not tried yet, and the steps down to it, as a linked list.
-    stack = [(children(dict(histogram), 0), 0, None)] if histogram and best > lower else []
-    while stack and best > lower and spent < nodes:
-        untried, bins, path = stack[-1]
-        child = next(untried, None)
+                most = min(most, max(1, room // lost))
+            for place, times in ((2 * n, most), (2 * n + 1, 1)):
+                if place >= tried and times * lost <= room and (place % 2 == 0 or most > 1):
+                    yield place, times, items
+
+    def change(step: tuple, sign: int) -> None:
+        nonlocal bins, waste
+        times, items = step
+        bins += sign * times
+        waste += sign * times * (capacity - sum(items))
+        for one, n in Counter(items).items():
+            counts[one] = counts.get(one, 0) - sign * n * times
+            if not counts[one]:
+                del counts[one]
+
+    # A frame: its enumeration, the next place in it, the step taken from it.
+    frames: list[list] = [[None, 0, None]] if histogram else []
+    while frames and best > lower and spent < nodes:
+        frame = frames[-1]
+        if frame[2]:
+            change(frame[2], -1)
+            frame[2] = None
+        frame[0] = frame[0] or children(frame[1])
+        child = next(frame[0], None)
         if child is None:
-            stack.pop()
+            frames.pop()
             continue
         spent += 1
-        counts, waste, step = child
-        bins += step[0]
-        if counts:
-            # Bins still needed at the least: what is left, and the waste of the rest.
-            if bins + lower_bound(counts, capacity) < best:
-                stack.append((children(counts, waste), bins, (step, path)))
-        elif bins < best:
-            best, path, incumbent = bins, (step, path), []
-            while path:
-                step, path = path
-                incumbent.append(step)
+        frame[1], frame[2] = child[0] + 1, child[1:]
+        change(frame[2], 1)
+        if not counts:
+            if bins < best:
+                best, incumbent = bins, [step for _, _, step in frames]
+        elif bins + lower_bound(counts, capacity) < best:
+            frame[0] = None
+            frames.append([None, 0, None])
     return incumbent, spent
 
 
