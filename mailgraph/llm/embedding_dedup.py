@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from mailgraph.llm.simhash import components
 from mailgraph.session import settle
 
-THRESHOLD, RECALL, SEED = 0.9, 0.995, 13
-# Members of a bucket on average, if signs were independent, and of one comparison at most.
-BUCKET_ROWS, PART_ROWS = 128, 2048
+THRESHOLD, RECALL, SEED = 0.9, 0.99, 13
+# Members of a bucket on average, if signs were independent, and of one comparison at most. Larger
+# buckets take more products inside a task, and fewer tables, that is copies of every vector.
+BUCKET_ROWS, PART_ROWS = 512, 2048
 LEAST_SIGNS, MOST_SIGNS = 4, 30
 
 
@@ -75,30 +76,38 @@ def forest(links: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _counted(matrix: np.ndarray, table: int, ours: np.ndarray, theirs: np.ndarray) -> np.ndarray:
-    """The links of a matrix that no table before this one has: pairs apart in all of these."""
+def _counted(matrix: np.ndarray, table: int, ours: np.ndarray, theirs: np.ndarray, codes_of) -> np.ndarray:
+    """The links of a matrix that no table before this one has: pairs apart in all of these.
+
+    The other tables' buckets do not travel with the vectors: those of linked vectors are computed
+    again.
+    """
     counted = matrix.copy()
     if table and matrix.any():
+        rows, columns = matrix.any(axis=1), matrix.any(axis=0)
+        codes = np.zeros((len(ours), table), np.int32), np.zeros((len(theirs), table), np.int32)
+        codes[0][rows] = codes_of(ours[rows])[:, :table]
+        codes[1][columns] = codes_of(theirs[columns])[:, :table]
         a, b = np.nonzero(matrix)
         for start in range(0, len(a), 65536):
             x, y = a[start : start + 65536], b[start : start + 65536]
-            counted[x, y] = ~(ours[x, :table] == theirs[y, :table]).any(axis=1)
+            counted[x, y] = ~(codes[0][x] == codes[1][y]).any(axis=1)
     return counted
 
 
 def compare(
-    table: int, vectors: np.ndarray, codes: np.ndarray, copies: np.ndarray, first: np.ndarray,
-    second: np.ndarray, threshold: float = THRESHOLD,
+    table: int, vectors: np.ndarray, copies: np.ndarray, first: np.ndarray, second: np.ndarray,
+    codes_of, threshold: float = THRESHOLD,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(links that count for each member, symmetric matrix of all links) of one comparison.
 
     Members of the first part meet those of the second; the two are the same for a bucket, or for
-    a part of one with itself.
+    a part of one with itself. ``codes_of`` gives the buckets of vectors, one column a table.
     """
     one, other = np.flatnonzero(first), np.flatnonzero(second)
     found = linked(vectors[one], vectors[other], threshold)
     found &= one[:, None] != other[None, :]
-    counted = _counted(found, table, codes[one], codes[other])
+    counted = _counted(found, table, vectors[one], vectors[other], codes_of)
     links = np.zeros(len(vectors), np.int64)
     links[one] += counted @ copies[other]
     if not np.array_equal(one, other):
@@ -111,7 +120,7 @@ def compare(
 def _dealt(signed: DataFrame) -> DataFrame:
     """Classes by cell: a bucket, or a pair of parts of a bucket of over PART_ROWS classes."""
     spread = signed.select(
-        "class", "raw", "copies", "dims", "codes", F.posexplode("codes").alias("table", "code")
+        "class", "raw", "copies", "dims", F.posexplode("codes").alias("table", "code")
     ).withColumn("bucket", F.xxhash64("dims", "table", "code"))
     sizes = signed.select("dims", F.posexplode("codes").alias("table", "code"))
     sizes = sizes.groupBy(F.xxhash64("dims", "table", "code").alias("bucket")).count()
@@ -125,7 +134,7 @@ def _dealt(signed: DataFrame) -> DataFrame:
     placed = spread.join(large, "bucket", "left").withColumn(
         "own", F.pmod(F.xxhash64("class", F.lit(7)), parts).cast("int")
     )
-    carried = ["class", "raw", "copies", "dims", "codes", "table"]
+    carried = ["class", "raw", "copies", "dims", "table", "code"]
     pairs = placed.select(
         *carried, "bucket", "own", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
     )
@@ -137,7 +146,7 @@ def _dealt(signed: DataFrame) -> DataFrame:
     )
 
 
-def _links(signed: DataFrame, kind: type, threshold: float) -> DataFrame:
+def _links(signed: DataFrame, kind: type, signs: int, tables: int, threshold: float) -> DataFrame:
     """(a, b, n): a member of a cell with its links, b null; or two joined members, n null."""
     dealt = _dealt(signed)
     names = dealt.columns
@@ -163,21 +172,20 @@ def _links(signed: DataFrame, kind: type, threshold: float) -> DataFrame:
         number = table["table"].to_numpy()
         first, second = (table[c].to_numpy(zero_copy_only=False) for c in ("first", "second"))
         raw = table["raw"].to_pylist()
-        codes = table["codes"].combine_chunks().flatten().to_numpy().reshape(len(names), -1)
-        own = codes[np.arange(len(names)), number]
+        code = table["code"].to_numpy()
         counts, joins = ([], []), []
         start = 0
         for end in cuts.tolist():
             if end - start > 1:
                 # One bucket, but for a collision of hashes: then they are taken one by one.
-                kinds = np.stack([dims[start:end], number[start:end], own[start:end]], axis=1)
+                kinds = np.stack([dims[start:end], number[start:end], code[start:end]], axis=1)
                 for one in np.unique(kinds, axis=0):
                     at = start + np.flatnonzero((kinds == one).all(axis=1))
                     if len(at) > 1:
                         vectors = np.frombuffer(b"".join(raw[x] for x in at), kind).reshape(len(at), -1)
                         links, whole = compare(
-                            int(number[at[0]]), scaled(vectors), codes[at], copies[at], first[at],
-                            second[at], threshold,
+                            int(number[at[0]]), scaled(vectors), copies[at], first[at], second[at],
+                            lambda rows: buckets(rows, signs, tables), threshold,
                         )
                         some = np.flatnonzero(links)
                         counts[0].extend(names[at[some]].tolist())
@@ -252,7 +260,7 @@ def near_duplicates(
             sign, "class long, copies long, dims int, raw binary, codes array<int>"
         )
     )
-    found = settle(_links(signed, kind, threshold))
+    found = settle(_links(signed, kind, signs, tables, threshold))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = settle(found.where("n IS NOT NULL").groupBy("a").agg(F.sum("n").alias("n")))
     roots = settle(roots)
