@@ -87,3 +87,23 @@ def test_hot_pair_is_split_in_dedupe(spark, small_splits):
     )
     found, plan = final_plan(dedupe._contested(edges, 2.0))
     assert len(found) == 20_000 and "skew=true" in plan
+
+
+def test_words_of_a_connection_travel_by_mail(spark, monkeypatch):
+    """Every word of every mail of a connection was a row of its own in the shuffle."""
+    from mailgraph.operators import graph as G
+
+    rows = [("a", "b", i) for i in range(5)] + [("a", "b", 0), ("a", "c", 1), ("a", None, 1), ("d", "e", 99)]
+    edges = spark.createDataFrame(rows, "sender string, recipient string, file_id bigint")
+    tf = spark.createDataFrame([(i, w) for i in range(5) for w in ("x", f"y{i % 2}")], "file_id bigint, word string")
+    found = G.connections(edges)
+    expected = G.communication_words(found, edges, tf).groupBy("connection_id", "word").count()
+    expected = sorted(map(tuple, expected.collect()))
+    assert len(expected) == 5
+    for mails in (4096, 3):
+        monkeypatch.setattr(G, "OWN_TASK_MAILS", mails)
+        bags = G.communication_bags(found, edges, tf)
+        assert sorted(map(tuple, bags.collect())) == expected
+    monkeypatch.setattr(G, "OWN_TASK_MAILS", 4096)
+    plan = G.communication_bags(found, edges, tf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(connection_id" in plan.split("Union")[1] and "words" in plan
