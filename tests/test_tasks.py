@@ -1,10 +1,13 @@
 """Work is dealt out to tasks by rows, however few row groups hold the input."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from mailgraph.catalog import text_queries, views
+from mailgraph.catalog import graph_queries, text_queries, views
 from mailgraph.plans import mail_etl
+from mailgraph.session import bounded_tasks
 
 
 @pytest.fixture
@@ -51,3 +54,21 @@ def test_mails_of_one_row_group_are_parsed_by_many_tasks(spark, tmp_path, small_
     messages = mail_etl.read_messages(files, mail_etl.file_numbers(files))
     assert tasks[0] > 1
     assert messages.filter("status = 'valid' AND body_tokens[0] = 'word'").count() == 64
+
+
+def test_tasks_of_edges_grow_with_the_edges(spark, tmp_path, monkeypatch):
+    day = datetime.date(2001, 1, 1)
+    stored(spark.createDataFrame([(i, i % 5, day, "F") for i in range(50)],
+           "o_orderkey bigint, o_custkey bigint, o_orderdate date, o_orderstatus string"), tmp_path, "orders")
+    items = [(i % 50, i % 3, "A") for i in range(200)] + [(None, 1, "A"), (1, None, "N"), (1, None, "N")]
+    stored(spark.createDataFrame(items, "l_orderkey bigint, l_suppkey bigint, l_returnflag string"), tmp_path, "lineitem")
+    monkeypatch.setattr(graph_queries, "TASK_EDGES", 10)
+    edges = graph_queries._unique_edges(spark, str(tmp_path))
+    assert edges.rdd.getNumPartitions() == 21
+    assert edges.count() == len({i for i in items if i[0] is not None})
+
+
+def test_bounded_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert bounded_tasks(spark, 0, 10) == cores
+    assert bounded_tasks(spark, 1001, 10) == 101
