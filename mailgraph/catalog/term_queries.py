@@ -64,12 +64,12 @@ def subject_word_tfidf(spark, sf_dir):
 
 
 def doc_tfidf(spark, sf_dir):
-    tf = settle(body_table(spark, sf_dir).drop("status"))
+    tf = settle(body_table(spark, sf_dir).select("file_id", "word", "rel_tf"))
     return terms.doc_tfidf(tf, settle(terms.idf(tf)))
 
 
 def top_terms(spark, sf_dir):
-    tf = settle(body_table(spark, sf_dir).drop("status"))
+    tf = settle(body_table(spark, sf_dir).select("file_id", "word", "rel_tf"))
     return terms.top_terms(tf, settle(terms.word_tfidf(tf)))
 
 
